@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _MADE: dict[str, str] = {}
 
@@ -60,3 +61,8 @@ def id_and_text(docs: DataFrame, *more: str) -> DataFrame:
     """The columns an operator reads; any others, clashing names included, are
     pruned before the plan starts. A null text is the empty one."""
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
+
+
+def schema_with(df: DataFrame, *more: str) -> T.StructType:
+    """The schema of ``df`` with further fields, each written "name type"."""
+    return T.StructType([*df.schema.fields, *T.DataType.fromDDL(", ".join(more)).fields])

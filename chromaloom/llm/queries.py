@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from chromaloom.llm import exact_dedup, jaccard_join
+from chromaloom.llm import bpe, chat, exact_dedup, jaccard_join, language_id, licenses, pii, sharding
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
+    "op3_bpe": bpe.op3_bpe,
+    "op4_licenses": licenses.op4_licenses,
+    "op5_sharding": sharding.op5_sharding,
+    "op6_pii": pii.op6_pii,
+    "op8_chat_format": chat.op8_chat_format,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
-ORACLES = {"op9_exact_dedup": exact_dedup.OP9_SQL}
+ORACLES = {
+    "op4_licenses": licenses.OP4_SQL,
+    "op8_chat_format": chat.OP8_SQL,
+    "op9_exact_dedup": exact_dedup.OP9_SQL,
+}
