@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Rows of an Arrow batch where rows hold whole texts.
+BATCH_ROWS = 1000
+
 _MADE: dict[str, str] = {}
 
 
@@ -59,7 +62,12 @@ def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 def id_and_text(docs: DataFrame, *more: str) -> DataFrame:
     """The columns an operator reads; any others, clashing names included, are
-    pruned before the plan starts. A null text is the empty one."""
+    pruned before the plan starts. A null text is the empty one.
+
+    Texts are long rows: Arrow batches of few rows bound what the JVM and the
+    Python worker hold at once. This sets the session's batch size.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 

@@ -13,7 +13,7 @@ _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 class WordHashes(dict):
     """word -> 64-bit hash, kept for the frequent words of a task; bounded."""
 
-    LIMIT = 400_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -27,6 +27,15 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
+def gram_hashes(h: np.ndarray, size: int) -> np.ndarray:
+    """The hash of each run of ``size`` words, from the hashes of the words."""
+    n = len(h) - size + 1
+    total = np.zeros(n, np.uint64)
+    for i in range(size):
+        total += mix(h[i : i + n] * _ODD[i % 5] + np.uint64(i))
+    return mix(total)
+
+
 def shingle_set(text: str, size: int, memo: WordHashes) -> np.ndarray:
     """Sorted distinct hashes of the word n-grams; fewer words make one shingle."""
     found = words(text)
@@ -35,8 +44,4 @@ def shingle_set(text: str, size: int, memo: WordHashes) -> np.ndarray:
     h = np.fromiter(map(memo.__getitem__, found), np.uint64, len(found))
     if len(h) < size:
         return np.array([xxhash.xxh3_64_intdigest(h.tobytes())], np.uint64)
-    n = len(h) - size + 1
-    total = np.zeros(n, np.uint64)
-    for i in range(size):
-        total += mix(h[i : i + n] * _ODD[i % 5] + np.uint64(i))
-    return np.unique(mix(total))
+    return np.unique(gram_hashes(h, size))
