@@ -110,13 +110,20 @@ def build(spark: SparkSession, keys: DataFrame, rows: int, repeated: bool) -> tu
     return bits, spark.sparkContext.broadcast(filled.tobytes())
 
 
+def test(table: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
+    """Which keys the filter may hold; later probes only look at what is left."""
+    left = np.arange(len(keys))
+    for p in _probes(keys.view(np.int64), bits):
+        p = p[left]
+        left = left[(table[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1]
+    out = np.zeros(len(keys), bool)
+    out[left] = True
+    return out
+
+
 def might_contain(key: str, bits: int, filled: object) -> Column:
     @F.pandas_udf("boolean")
-    def test(keys: pd.Series) -> pd.Series:
-        table = np.frombuffer(filled.value, np.uint8)
-        out = np.ones(len(keys), bool)
-        for p in _probes(keys.to_numpy(np.int64), bits):
-            out &= (table[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1
-        return pd.Series(out)
-
-    return test(F.coalesce(F.col(key), F.lit(0).cast("long")))
+    def held(keys: pd.Series) -> pd.Series:
+        return pd.Series(test(np.frombuffer(filled.value, np.uint8), keys.to_numpy(np.int64), bits))
+
+    return held(F.coalesce(F.col(key), F.lit(0).cast("long")))

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chromaloom.session import ship
+
 #: Rows of an Arrow batch where rows hold whole texts.
 BATCH_ROWS = 1000
 
@@ -17,6 +19,7 @@ _MADE: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -26,6 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     Only where that setting is absent (tests, a laptop) a temporary folder is
     made, which is right in local mode alone.
     """
+    ship(spark)
     sc = spark.sparkContext
     if sc.applicationId not in _MADE:
         root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -67,6 +71,7 @@ def id_and_text(docs: DataFrame, *more: str) -> DataFrame:
     Texts are long rows: Arrow batches of few rows bound what the JVM and the
     Python worker hold at once. This sets the session's batch size.
     """
+    ship(docs.sparkSession)
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
