@@ -1,0 +1 @@
+"""Where pixels, boxes and manifests come from."""
