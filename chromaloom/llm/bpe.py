@@ -6,7 +6,8 @@ the prefix before it stays apart from t, i.e. the merges applied to both leave
 both whole. So each node looks only at the states of its ancestors, and the
 encoding of a prefix that many words share is found once. The distinct words of
 a batch in sorted order are the trie in depth-first order: the next word goes on
-from the node where it leaves the one before.
+from the node where it leaves the one before. An automaton over the vocabulary
+names the tokens that end at a node.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from chromaloom.llm.common import id_and_text, schema_with, table
 #: The split of byte-level BPE before any merge; fixed by the tokenizer's format.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Documents whose words are gathered before a walk, and bounds of what a task remembers.
-DOCS, MAX_WORDS, MAX_PAIRS, LONG_WORD = 200, 150_000, 400_000, 64
+DOCS, MAX_WORDS, MAX_PAIRS, LONG_WORD = 500, 200_000, 400_000, 64
 
 
 def default_path() -> str:
@@ -57,15 +58,16 @@ class TrieBpe:
         for i, m in enumerate(model["merges"]):
             left, right = m if isinstance(m, list) else m.split(" ")
             self.rank[raw(left), raw(right)] = i
-        lengths = sorted({len(t) for t in self.ids})
-        self.lengths_upto = [[n for n in reversed(lengths) if n <= d] for d in range(lengths[-1] + 1)]
         self.special = {t["content"]: t["id"] for t in made.get("added_tokens") or []}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
         longest_first = sorted(self.special, key=len, reverse=True)
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if self.special else None
         self.split = regex.compile(SPLIT)
-        self.known: dict[str, tuple[int, ...]] = {s: (i,) for s, i in self.special.items()}
+        # words of this generation, and of the one before
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.apart: dict[int, bool] = {}
+        self.goto: dict[int, int] = {}
 
     def _merged(self, data: bytes) -> list[bytes]:
         """Plain merging, lowest rank first, leftmost first; for pairs of tokens."""
@@ -85,48 +87,97 @@ class TrieBpe:
             parts = out
         return parts
 
-    def _stays_apart(self, left: int, right: int) -> bool:
-        key = left << 24 | right
-        if (found := self.apart.get(key)) is None:
-            a, b = self.bytes_of[left], self.bytes_of[right]
-            found = self._merged(a + b) == [a, b]
-            if len(self.apart) >= MAX_PAIRS:
-                self.apart.clear()
-            self.apart[key] = found
+    def _stays_apart(self, key: int) -> bool:
+        a, b = self.bytes_of[key >> 24], self.bytes_of[key & 0xFFFFFF]
+        if len(self.apart) >= MAX_PAIRS:
+            self.apart.clear()
+        found = self.apart[key] = self._merged(a + b) == [a, b]
         return found
 
+    def _automaton(self) -> None:
+        """Suffix automaton of the vocabulary: a state is the longest suffix of
+        the bytes read that begins a token; ``ends`` has its tokens, longest
+        first."""
+        step: dict[int, int] = {}
+        parent, byte, token = [0], [0], [-1]
+        for t, i in self.ids.items():
+            at = 0
+            for c in t:
+                key = at << 8 | c
+                if key not in step:
+                    step[key] = len(parent)
+                    parent.append(at)
+                    byte.append(c)
+                    token.append(-1)
+                at = step[key]
+            token[at] = i
+        depth = [0] * len(parent)
+        for n in range(1, len(parent)):
+            depth[n] = depth[parent[n]] + 1
+        self.step, self.fail, self.ends = step, [0] * len(parent), [()] * len(parent)
+        for n in sorted(range(1, len(parent)), key=depth.__getitem__):
+            if depth[n] > 1:
+                self.fail[n] = self._follow(self.fail[parent[n]], byte[n])
+            own = ((token[n], depth[n]),) if token[n] >= 0 else ()
+            self.ends[n] = own + self.ends[self.fail[n]]
+
+    def _follow(self, state: int, c: int) -> int:
+        while state and (state << 8 | c) not in self.step:
+            state = self.fail[state]
+        return self.step.get(state << 8 | c, 0)
+
     def _walk(self, words: list[bytes]) -> Iterator[tuple[int, ...]]:
-        """Encodings of sorted distinct words; state d is (last token of the
-        first d bytes, its length)."""
-        ids, upto, apart = self.ids, self.lengths_upto, self._stays_apart
-        states: list[tuple[int, int]] = [(-1, 0)]
+        """Encodings of sorted distinct words. By bytes read: last token, its
+        length, state of the automaton."""
+        if not self.goto:
+            self._automaton()
+        goto, ends, apart = self.goto, self.ends, self.apart
+        last, size, states = [-1], [0], [0]
         before = b""
         for word in words:
             shared, most = 0, min(len(before), len(word))
-            while shared < most and before[shared] == word[shared]:
-                shared += 1
-            del states[shared + 1 :]
+            if before[:most] == word[:most]:
+                shared = most
+            else:
+                while before[shared] == word[shared]:
+                    shared += 1
+            del last[shared + 1 :], size[shared + 1 :], states[shared + 1 :]
+            state = states[shared]
             for d in range(shared + 1, len(word) + 1):
-                for n in upto[min(d, len(upto) - 1)]:
-                    token = ids.get(word[d - n : d])
-                    if token is not None and (n == d or apart(states[d - n][0], token)):
-                        states.append((token, n))
-                        break
+                key = state << 8 | word[d - 1]
+                state = goto.get(key, -1)
+                if state < 0:
+                    state = goto[key] = self._follow(key >> 8, key & 255)
+                states.append(state)
+                for token, n in ends[state]:
+                    if n < d:
+                        pair = last[d - n] << 24 | token
+                        ok = apart.get(pair)
+                        if ok is None:
+                            ok = self._stays_apart(pair)
+                        if not ok:
+                            continue
+                    last.append(token)
+                    size.append(n)
+                    break
             out, d = [], len(word)
             while d:
-                token, n = states[d]
-                out.append(token)
-                d -= n
+                out.append(last[d])
+                d -= size[d]
             before = word
-            yield tuple(reversed(out))
+            out.reverse()
+            yield tuple(out)
 
     def _learn(self, pieces: set[str]) -> list[str]:
-        """Makes all pieces known; the long ones, which the caller is to forget."""
+        """Makes all pieces known; the long ones, which the caller is to forget.
+        Of a full generation, what the next one uses stays."""
+        if len(self.known) > MAX_WORDS:
+            self.known, self.older = {}, self.known
         missing = pieces.difference(self.known)
-        if len(self.known) + len(missing) > MAX_WORDS:
-            self.known = {s: (i,) for s, i in self.special.items()}
-            missing = pieces.difference(self.special)
-        order = sorted((p.encode("utf-8", "surrogatepass"), p) for p in missing)
+        kept = {p: self.older[p] for p in missing if p in self.older}
+        self.known |= kept
+        self.known |= {p: (self.special[p],) for p in missing if p in self.special}
+        order = sorted((p.encode("utf-8", "surrogatepass"), p) for p in missing if p not in self.known)
         self.known.update(zip((p for _, p in order), self._walk([b for b, _ in order])))
         return [p for p in missing if len(p) > LONG_WORD]
 
@@ -211,10 +262,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(decode(spark, encode(spark, table(spark, sf_dir, "documents"))))
 
 
-def token_digests(tokens: DataFrame) -> DataFrame:
+def token_digests(tokens: DataFrame, *more: str) -> DataFrame:
     return tokens.select(
         "doc_id",
         F.expr("length(ids) div 4").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *more,
     )
