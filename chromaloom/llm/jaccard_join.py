@@ -4,16 +4,18 @@ Two shingle sets with 100*|A & B| >= t*|A | B| differ in at most
 D = (|A| + |B|)(100 - t)/(100 + t) shingles. Per size band a document's
 shingles are dealt to K pieces of 64 bits and each shingle flips one bit of its
 piece, so the Hamming distance of two sketches is at most the size of the
-symmetric difference, and at most D pieces differ. Every document drops its s
-lightest pieces, which say least; with K = D + 1 + 2s at least one piece that
-neither drops is equal in both. Documents join on equal pieces:
+symmetric difference, and at most D pieces differ. A document of n shingles
+drops its s(n) lightest pieces, which say least, where s(a) + s(b) < K - D for
+all partners: one piece that neither drops is equal in both. Documents join on
+equal pieces:
 
 1. equal sets collapse to the one of the smallest id;
 2. in each bucket of equal pieces all members are paired with the smallest id
    (never with each other: rows stay in proportion to the pieces), the folded
    sketches discard pairs beyond D, the rest are verified on the sets;
 3. links become components. Only where a bucket still holds more than one
-   component are its other pairs across components tested, in the same way.
+   component are the sketches of its members compared across components, inside
+   the task, block by block; only pairs within D become rows and are verified.
 
 No link between different sets is lost, and no bucket is cut short.
 """
@@ -36,13 +38,14 @@ from chromaloom.llm.common import id_and_text, stage, table
 from chromaloom.llm.components import components
 from chromaloom.llm.shingles import WordHashes, shingle_set
 
-#: Ratio of successive size bands, and the share of pieces that is dropped where a band has many.
-GROWTH, DROP, DROP_FROM = 1.3, 0.04, 16
+#: Ratio of successive size bands; share of pieces that is dropped besides where
+#: a band has many; members that are compared at once.
+GROWTH, DROP, DROP_FROM, BLOCK = 1.3, 0.03, 16, 4000
 
 
 @lru_cache
-def bands(percent: int) -> list[tuple[int, int, int, int]]:
-    """(first size, pieces, dropped pieces, words of the folded sketch) by band.
+def bands(percent: int) -> list[tuple[int, int, int]]:
+    """(first size, pieces, words of the folded sketch) by band.
 
     Band k serves the pairs whose smaller set lies in it; the larger one has at
     most 100/percent times its size.
@@ -51,16 +54,23 @@ def bands(percent: int) -> list[tuple[int, int, int, int]]:
     while first < 1 << 31:
         after = max(first + 1, int(first * GROWTH))
         a = after - 1
-        most = (a + a * 100 // percent) * (100 - percent) // (100 + percent)
-        pieces, drop = most + 1, 0
+        b = a * 100 // percent
+        most = (a + b) * (100 - percent) // (100 + percent)
+        pieces = most + 1
         if most >= DROP_FROM:
-            drop = round(DROP * most)
-            pieces += 2 * drop
-        out.append((first, 0 if most == 0 else pieces, drop, max(1, min(pieces, math.ceil(a / 64)))))
+            pieces = -(-2 * b * (100 - percent) // (100 + percent)) + 1 + 2 * round(DROP * most)
+        out.append((first, 0 if most == 0 else pieces, max(1, min(pieces, math.ceil(a / 64)))))
         first = after
     return out
 
 
+def dropped(n: int, pieces: int, percent: int) -> int:
+    """s(n): with d = (100 - t)/(100 + t), at most (K - 1)/2 - d*n."""
+    if pieces <= DROP_FROM:
+        return 0
+    return ((pieces - 1) * (100 + percent) - 2 * n * (100 - percent)) // (2 * (100 + percent))
+
+
 def _band_of(n: int, percent: int) -> int:
     lo = [b[0] for b in bands(percent)]
     return int(np.searchsorted(lo, n, side="right")) - 1
@@ -68,7 +78,8 @@ def _band_of(n: int, percent: int) -> int:
 
 def sketch(shingles: np.ndarray, band: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(join keys, folded sketch) of a set in one band."""
-    _, pieces, drop, folded = bands(percent)[band]
+    _, pieces, folded = bands(percent)[band]
+    drop = dropped(len(shingles), pieces, percent)
     z = mix(shingles ^ np.uint64(0xA0761D6478BD642F * (band + 1) % 2**64))
     piece = ((z >> np.uint64(32)) % np.uint64(pieces)).astype(np.int64)
     words = np.zeros(pieces, np.uint64)
@@ -148,6 +159,76 @@ def _verified(percent: int) -> Callable:
     return run
 
 
+_OPEN = ["group", "doc_id", "component", "block", "across", "n_shingles", "own", "own_fold", "less_fold"]
+
+
+def _across(spark: SparkSession, open_: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in one bucket whose sketches are
+    within D. Buckets of more than BLOCK members meet block against block."""
+    cuts = F.ceil(F.col("members") / BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("doc_id"), cuts).cast("int")
+    rows = open_.select("key", "doc_id", "component", "members", cuts.alias("cuts"), block.alias("block"))
+    small = rows.filter("cuts = 1").select(F.col("key").alias("group"), "doc_id", "component", "block", F.lit(False).alias("across"))
+    large = rows.filter("cuts > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    met = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+    large = large.select(met.alias("group"), "doc_id", "component", "block", (F.col("block") != F.col("other")).alias("across"))
+    folds = heads.select("doc_id", "n_shingles", "own", "own_fold", "less_fold")
+    each = small.unionByName(large).join(folds, "doc_id").select(*_OPEN)
+    sorted_ = each.repartition("group").sortWithinPartitions("group")
+    return sorted_.mapInArrow(_compared(percent), "a long, b long").distinct()
+
+
+def _compared(percent: int) -> Callable:
+    def folds(column: pa.Array, rows: np.ndarray) -> np.ndarray:
+        return np.array(column.take(pa.array(rows)).to_pylist(), np.int64)
+
+    def pairs(t: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        ids, comp, block, across, n, own = (t.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "component", "block", "across", "n_shingles", "own"))
+        for band in np.unique(own):
+            x = np.flatnonzero(own == band)
+            for y, column in ((x, "own_fold"), (np.flatnonzero(own == band + 1), "less_fold")):
+                if not len(y) or not len(x):
+                    continue
+                if column == "less_fold":
+                    y = y[t.column(column).is_valid().to_numpy(zero_copy_only=False)[y]]
+                    if not len(y):
+                        continue
+                fx, fy = folds(t.column("own_fold"), x), folds(t.column(column), y)
+                for at in range(0, len(x), 256):
+                    i = x[at : at + 256, None]
+                    apart = np.zeros((len(i), len(y)), np.int64)
+                    for word in range(fx.shape[1]):
+                        apart += np.bitwise_count(fx[at : at + 256, None, word] ^ fy[None, :, word])
+                    near = apart * (100 + percent) <= (n[i] + n[y]) * (100 - percent)
+                    near &= (comp[i] != comp[y]) & (np.maximum(n[i], n[y]) * percent <= np.minimum(n[i], n[y]) * 100)
+                    near &= ~across[i] | (block[i] != block[y])
+                    p, q = np.nonzero(near)
+                    p, q = ids[i[p, 0]], ids[y[q]]
+                    yield np.maximum(p, q), np.minimum(p, q)
+
+    def groups(t: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        keys = t.column("group").to_numpy()
+        edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)]
+        found = [p for lo, hi in zip(edges, edges[1:]) if hi - lo > 1 for p in pairs(t.slice(lo, hi - lo))]
+        if found:
+            a, b = np.unique(np.stack([np.concatenate(c) for c in zip(*found)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if held is not None and held.num_rows:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            keys = batch.column("group").to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+            yield from groups(batch.slice(0, cut))
+            held = batch.slice(cut)
+        if held is not None and held.num_rows:
+            yield from groups(held)
+
+    return run
+
+
 class _Verifier:
     """Tests candidate pairs: sizes, then folded sketches, then the sets."""
 
@@ -203,10 +284,14 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = 4, perc
     """
     read = id_and_text(docs)
     made = stage(spark, read.mapInArrow(_sketches(size, percent), _SKETCHED), "sketches")
-    full = made.filter("n_shingles > 0 and doc_id is not null")
+    full = made.filter("n_shingles > 0 and doc_id is not null").withColumn("h", F.xxhash64("print"))
     classes = full.groupBy("print").agg(F.min("doc_id").alias("class_id"))
-    heads = full.join(classes, (full["print"] == classes["print"]) & (F.col("doc_id") == F.col("class_id")), "left_semi")
-    heads = heads.filter("keys is not null").dropDuplicates(["doc_id", "print"])
+    # sets that no other row may have pass as they are; the rest meet their class
+    bits, filled = bloom.build(spark, full.select("h"), full.count(), repeated=True)
+    marked = full.filter("keys is not null").withColumn("again", bloom.might_contain("h", bits, filled)).drop("h")
+    of = classes.withColumnRenamed("print", "class_print")
+    met = marked.filter("again").join(of, (F.col("print") == F.col("class_print")) & (F.col("doc_id") == F.col("class_id")), "left_semi")
+    heads = marked.filter("not again").unionByName(met.dropDuplicates(["doc_id", "print"])).drop("again")
 
     buckets = heads.select("doc_id", F.explode("keys").alias("key"))
     w = Window.partitionBy("key")
@@ -226,14 +311,12 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = 4, perc
         links = links.unionByName(test.links(rest))
         labels = components(spark, links)
 
-    # buckets that still hold several components: pairs across them, none with the hub
+    # buckets that still hold several components
     named = labels.select(F.col("id").alias("doc_id"), "component")
     many = buckets.filter("members > 2").join(named, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     split = many.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key")
-    open_ = stage(spark, many.join(split, "key", "left_semi").filter("doc_id != hub").select("key", "doc_id", "component"), "open")
-    left = open_.select("key", F.col("doc_id").alias("a"), F.col("component").alias("c_a"))
-    right = open_.select("key", F.col("doc_id").alias("b"), F.col("component").alias("c_b"))
-    across = left.join(right, "key").filter("a > b and c_a != c_b").select("a", "b").distinct()
+    open_ = stage(spark, many.join(split, "key", "left_semi").filter("doc_id != hub").select("key", "doc_id", "component", "members"), "open")
+    across = _across(spark, open_, heads, percent)
     more = stage(spark, test.near(across), "across")
     if more.limit(1).count():
         links = links.unionByName(test.links(more))
@@ -245,5 +328,18 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = 4, perc
     return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
 
 
+def deduplicated(spark: SparkSession, docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its component, with
+    all their columns. Rows without an id stay, and so do those without words;
+    rows of one doc_id stay or go together. Only rows that a bounded filter
+    suspects meet the ids to leave out; the others don't shuffle."""
+    found = jaccard_components(spark, docs, size, percent)
+    gone = stage(spark, found.filter("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    bits, filled = bloom.build(spark, gone, gone.count(), repeated=False)
+    marked = docs.withColumn("_maybe", F.col("doc_id").isNotNull() & bloom.might_contain("doc_id", bits, filled))
+    held = marked.filter("_maybe").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return marked.filter("not _maybe").unionByName(held).select(*docs.columns)
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark, table(spark, sf_dir, "documents"))
