@@ -10,19 +10,22 @@ from chromaloom.operators.ordering import with_prefix
 
 SAMPLE, COVERAGE, BOX_PIXELS = 64, 4096, 2048
 # An odd multiplier and modulus of the sampling hash.
-_MUL, _MOD = 2_654_435_761, 4_294_967_296
+_MUL, _HALF, _MOD = 2_654_435_761, 2_147_483_648, 4_294_967_296
 
 
 def hashed_place(idx: Column, crop: Column) -> Column:
-    """An arithmetic hash that any SQL engine can repeat."""
-    return ((idx.cast("bigint") + crop.cast("bigint") * 7919 + 1) * F.lit(_MUL)) % F.lit(_MOD)
+    """An arithmetic hash that any SQL engine can repeat, without overflow."""
+    start = idx.cast("bigint") + crop.cast("bigint") % _HALF * 7919 + 1
+    return (start % _HALF * F.lit(_MUL)) % F.lit(_MOD)
 
 
 def sample(pixels: DataFrame, count: int = SAMPLE) -> DataFrame:
     """``count`` pixels of each crop (all of a smaller one), by the hash of their
     place. The first of a sorted window: Spark keeps only ``count`` rows a crop
     and task before it shuffles."""
-    w = Window.partitionBy("crop_id").orderBy(hashed_place(F.col("idx"), F.col("crop_id")), "idx")
+    named = dict(pixels.dtypes)["crop_id"] == "string"
+    crop = F.crc32(F.col("crop_id").cast("binary")) if named else F.col("crop_id")
+    w = Window.partitionBy("crop_id").orderBy(hashed_place(F.col("idx"), crop), "idx")
     return pixels.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= count).drop("_rank")
 
 

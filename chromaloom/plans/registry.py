@@ -435,9 +435,9 @@ def _(spark, d):
 
 @query(
     "synthetic_eval",
-    sql.with_(sql.SYNTHETIC, sql.VIS, sql.HIST, sql.Q12, sql.SAMPLE, sql.STATS, sql.GRADIENT, sql.ROUTED, sql.HEAVY_IN_TOP,
+    sql.with_(sql.SYNTHETIC, sql.VIS, sql.HIST, sql.Q12, sql.SAMPLE.replace("cast(crop_id as bigint) %", "length(crop_id) %"), sql.STATS, sql.GRADIENT, sql.ROUTED, sql.HEAVY_IN_TOP,
               "want as (select * from (values ('solid', 210, 74, 67, 'flat'), ('linear_gradient', 133, 123, 109, 'gradient'), ('four_color_texture', null, null, null, 'texture'), ('transparent_fill', 92, 211, 142, 'flat'), ('gray_gradient', 125, 125, 125, 'gradient')) as t(crop_id, wr, wg, wb, wroute))".replace("null, null, null", "cast(null as int), cast(null as int), cast(null as int)"),
-              f"ev as (select w.crop_id, w.wr, t.route, w.wroute, h.r, h.g, h.b, {sql.lab('h.r', 'h.g', 'h.b', 'o')}, {sql.lab('w.wr', 'w.wg', 'w.wb', 'p')} from want w join routed t using (crop_id) join heavy h using (crop_id))").replace("cast(crop_id as bigint) * 7919", "length(crop_id) * 7919")
+              f"ev as (select w.crop_id, w.wr, t.route, w.wroute, h.r, h.g, h.b, {sql.lab('h.r', 'h.g', 'h.b', 'o')}, {sql.lab('w.wr', 'w.wg', 'w.wb', 'p')} from want w join routed t using (crop_id) join heavy h using (crop_id))").replace("cast(crop_id as bigint) %", "length(crop_id) %")
     + f"select crop_id, route, route = wroute as route_match, case when wr is not null and route = 'flat' then {r6('100 * ' + sql.dist('o', 'p'))} end as delta_e from ev",
 )
 def _(spark, d):

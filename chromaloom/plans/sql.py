@@ -148,7 +148,7 @@ MEANS = """meanpal as (
     cast(round_even(sum(h.mass * h.b) / sum(h.mass), 0) as int) as b, any_value(t.ratio) as weight
   from hist h join q12b t on h.crop_id = t.crop_id and t.q12 = (h.r >> 4) * 256 + (h.g >> 4) * 16 + (h.b >> 4) where t.rank <= 5 group by t.crop_id, t.rank)"""
 SAMPLE = """sam as (
-  select * exclude (place) from (select *, row_number() over (partition by crop_id order by ((cast(idx as bigint) + cast(crop_id as bigint) * 7919 + 1) * 2654435761) % 4294967296, idx) as place from vis)
+  select * exclude (place) from (select *, row_number() over (partition by crop_id order by ((cast(idx as bigint) + cast(crop_id as bigint) % 2147483648 * 7919 + 1) % 2147483648 * 2654435761) % 4294967296, idx) as place from vis)
   where place <= 64)"""
 STATS = f"""slab as (select *, {lab()} from sam),
 smid as (select crop_id, median(o1) as m1, median(o2) as m2, median(o3) as m3, count(*) as n,
