@@ -34,7 +34,7 @@ SENTENCES = [
     ("ISC_GRANT", r"permission to use, copy, modify, and(/or)? distribute this software for any purpose with or without fee is hereby granted"),
     ("ASIS_MIT", r"the software is provided as is, without warranty of any kind"),
     ("ASIS_ISC", r"the software is provided as is and the author disclaims all warranties"),
-    ("APACHE2_NAME", r"licensed under the apache licen[sc]e,? version 2\.0( \(the license\))?$"),
+    ("APACHE2_NAME", r"licensed under the apache licen[sc]e,? version 2\.0( \(the license ?\))?$"),
     ("APACHE2_USE", r"you may not use this file except in compliance with the license$"),
     ("APACHE2_COPY", r"you may obtain a copy of the license at"),
     ("APACHE2_ASIS", r"distributed under the license is distributed on an as is basis"),
