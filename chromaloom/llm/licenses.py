@@ -98,7 +98,8 @@ CUES = "(?i)licen[sc]e|copyright|spdx|permission|redistribut|provided as is|prov
 # line end after a sentence end parts too.
 _MARK = "\x1e"
 _STEPS = [
-    (r"[*#/\x22'`|]+", " "),
+    (r"[\x22'`]+", ""),
+    (r"[*#/|]+", " "),
     (r"[.!?;]+[\x20\x09-\x0D]+", _MARK),
     (r"[\x20\x09]*\n[\x20\x09]*\n[\x20\x09-\x0D]*", _MARK),
     (r"[\x20\x09-\x0D]+", " "),
