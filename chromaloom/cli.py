@@ -6,7 +6,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from chromaloom.operators import adaptive, clustering, histogram, observed, roi, summary
+from chromaloom.operators import adaptive, histogram, methods, roi, summary
 from chromaloom.sources import images, manifests
 from chromaloom.sources.scene import visible
 
@@ -17,7 +17,7 @@ def parser() -> argparse.ArgumentParser:
     a = sub.add_parser("annotate", help="dominant colour and palette of every image below a path")
     a.add_argument("input")
     a.add_argument("output")
-    a.add_argument("--method", default="adaptive_v1", choices=["adaptive_v1", *clustering.KERNELS])
+    a.add_argument("--method", default="adaptive_v1", choices=sorted(methods.METHODS))
     b = sub.add_parser("boxes", help="palettes of the boxes of a manifest")
     b.add_argument("images")
     b.add_argument("manifest")
@@ -36,12 +36,11 @@ def main(argv: list[str] | None = None) -> None:
         summary.capacity(spark, args.crops).orderBy("days").show(truncate=False)
     elif args.command == "annotate":
         pixels = images.to_pixels(images.read_images(spark, args.input))
-        seen = visible(pixels)
-        hist = histogram.exact(seen)
         if args.method == "adaptive_v1":
-            out = summary.compact(adaptive.adaptive(pixels, seen, hist), args.method)
+            seen = visible(pixels)
+            out = summary.compact(adaptive.adaptive(pixels, seen, histogram.exact(seen)), args.method)
         else:
-            out = histogram.nest(observed.remap_all(clustering.cluster(hist, args.method), hist))
+            out = histogram.nest(methods.extract(pixels, args.method))
         out.write.json(args.output)
     else:
         read = images.read_images(spark, args.images)

@@ -26,6 +26,7 @@ KERNELS: dict[str, tuple[Callable, str]] = {
     "hsv_octree": (kernels.hsv_octree, "mass"),
     "liq_like": (kernels.quantise, "n"),
     "oklab_kmeans": (kernels.oklab_kmeans, "n"),
+    "mmcq": (kernels.mmcq, "mass"),
 }
 PALETTE = "rank int, r int, g int, b int, weight double"
 

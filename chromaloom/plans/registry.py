@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chromaloom.functions import color
-from chromaloom.operators import adaptive, clustering, histogram, hsv, observed, ordering, quality, sampling, summary
+from chromaloom.operators import adaptive, clustering, histogram, hsv, methods, observed, ordering, quality, sampling, summary
 from chromaloom.plans import sql
 from chromaloom.plans.sql import r6
-from chromaloom.sources import scene
+from chromaloom.sources import manifests, scene
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -627,34 +627,144 @@ def _(spark, d):
     return top.select("crop_id", "rank", _r(width, "width"))
 
 
-# Kernels: checked by properties, not by SQL
+# Smaller operators
 
 
-def _kernel(method: str) -> Query:
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        return clustering.cluster(_hist(spark, d), method)
+@query("gamma_transform", sql.with_(sql.SCENE) + f"select crop_id, idx, {r6('pow(r / 255e0, 0.5499e0 / 0.45455e0)')} as forward, cast(least(255, floor(pow(r / 255e0, 0.45455e0 / 0.5499e0) * 256)) as int) as backward from px")
+def _(spark, d):
+    gamma = 0.5499 / 0.45455
+    c = F.col("r") / 255.0
+    back = F.least(F.lit(255), F.floor(F.pow(c, F.lit(1 / gamma)) * 256)).cast("int")
+    return _px(spark, d).select("crop_id", "idx", _r(F.pow(c, F.lit(gamma)), "forward"), back.alias("backward"))
 
-    return run
 
+@query("compact_numbers", sql.with_(sql.OBSERVATIONS) + "select event_id, case when crop_id * 1000 >= 1000000 then printf('%.1fM', crop_id * 1000 / 1e6) when crop_id * 1000 >= 1000 then printf('%.1fK', crop_id * 1000 / 1e3) else cast(crop_id * 1000 as varchar) end as text from obs")
+def _(spark, d):
+    n = F.col("crop_id") * 1000
+    text = F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1e6)).when(n >= 1000, F.format_string("%.1fK", n / 1e3)).otherwise(n.cast("string"))
+    return _obs(spark, d).select("event_id", text.alias("text"))
 
-def _kernel_observed(method: str) -> Query:
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        hist = _hist(spark, d)
-        return observed.remap_all(clustering.cluster(hist, method), hist)
 
-    return run
+@query("palette_defaults", sql.with_(sql.OBSERVATIONS) + f"select event_id, case when event_id % 7 = 0 then '#000000' else '#102030' end as hex, case when event_id % 7 = 0 then 1e0 when event_id % 5 = 0 then 0.5e0 else 0.75e0 end as weight from obs")
+def _(spark, d):
+    # an empty palette is black, weights that don't fit are even
+    colours = F.when(F.col("event_id") % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("#102030"), F.lit("#405060")))
+    weights = F.when(F.col("event_id") % 5 == 0, F.array(F.lit(1.0))).otherwise(F.array(F.lit(0.75), F.lit(0.25)))
+    e = _obs(spark, d).select("event_id", colours.alias("p"), weights.alias("w"))
+    full = F.when(F.size("p") == 0, F.array(F.lit("#000000"))).otherwise(F.col("p"))
+    e = e.select("event_id", full.alias("p"), "w")
+    even = F.transform("p", lambda _: 1.0 / F.size("p"))
+    return e.select("event_id", F.get("p", F.lit(0)).alias("hex"), F.get(F.when(F.size("w") == F.size("p"), F.col("w")).otherwise(even), F.lit(0)).alias("weight"))
 
 
-for _name in clustering.KERNELS:
-    QUERIES[f"palette_{_name}"] = _kernel(_name)
-for _name in ("pixelero_rgb_hist", "octree", "hsv_pixelero_kmeans", "pixelero_hsv_cluster", "hsv_octree"):
-    QUERIES[f"palette_{_name}_observed"] = _kernel_observed(_name)
+@query("every_fifth", sql.with_(sql.SCENE, "ids as (select crop_id, row_number() over (order by crop_id) - 1 as pos from (select distinct crop_id from px))") + "select crop_id from ids where pos % 5 = 0 and pos < 50")
+def _(spark, d):
+    placed = ordering.with_prefix(_px(spark, d).select("crop_id").distinct(), "crop_id", name="pos")
+    return placed.filter("pos % 5 = 0 and pos < 50").select("crop_id")
 
 
-@query("palette_tencent_hsv_observed")
+@query("display_subset", sql.with_(sql.SCENE) + "select crop_id, count(*) as n from px where crop_id in (select distinct cast(s_suppkey as int) from supplier where s_suppkey % 3 = 0) group by crop_id")
 def _(spark, d):
-    hist = _hist(spark, d)
-    return observed.remap_all(hsv.palette(hist), hist)
+    shown = spark.read.parquet(f"{d}/supplier.parquet").filter("s_suppkey % 3 = 0").select(F.col("s_suppkey").cast("int").alias("crop_id"))
+    return _px(spark, d).join(shown, "crop_id", "left_semi").groupBy("crop_id").agg(F.count("*").alias("n"))
+
+
+@query("stride_sample", sql.with_(sql.SCENE) + "select crop_id, count(*) as n, cast(sum(r) as bigint) as r from px where idx % 10 = 0 group by crop_id")
+def _(spark, d):
+    return _px(spark, d).filter("idx % 10 = 0").groupBy("crop_id").agg(F.count("*").alias("n"), F.sum("r").alias("r"))
+
+
+@query(
+    "anchor_crops",
+    sql.with_("i as (select c_custkey as id, cast(200 + c_custkey * 37 % 900 as int) as width, cast(150 + c_custkey * 53 % 700 as int) as height from customer), v as (select * from (values ('top_left', 0.08e0), ('center', 0.5e0), ('bottom_right', 0.92e0)) as t(variant, at)), s as (select *, greatest(64, cast(round_even(least(width, height) * 0.48e0, 0) as int)) as side from i, v)")
+    + "select id, variant, side, cast(round_even(greatest(0, least(at * width - side / 2e0, width - side)), 0) as int) as left_, cast(round_even(greatest(0, least(at * height - side / 2e0, height - side)), 0) as int) as top_ from s",
+)
+def _(spark, d):
+    k = F.col("c_custkey")
+    i = spark.read.parquet(f"{d}/customer.parquet").select(k.alias("id"), (200 + k * 37 % 900).cast("int").alias("width"), (150 + k * 53 % 700).cast("int").alias("height"))
+    every = i.withColumn("variant", F.explode(F.array(*map(F.lit, manifests.ANCHORS))))
+    return manifests.crop_geometry(every).select("id", "variant", "side", F.col("left").alias("left_"), F.col("top").alias("top_"))
+
+
+@query("box_stats", sql.with_(sql.BOXES, "n as (select path, count(*) as n from clamped group by path)") + f"select count(*) as images, {r6('avg(n)')} as mean, {r6('quantile_cont(cast(n as double), 0.5)')} as p50, {r6('quantile_cont(cast(n as double), 0.95)')} as p95, min(n) as least, max(n) as most from n")
+def _(spark, d):
+    n = sampling.clamp_boxes(_boxes(spark, d)).groupBy("path").agg(F.count("*").alias("n"))
+    return n.agg(F.count("*").alias("images"), _r(F.avg("n"), "mean"), _r(F.percentile("n", 0.5), "p50"), _r(F.percentile("n", 0.95), "p95"), F.min("n").alias("least"), F.max("n").alias("most"))
+
+
+@query("small_palettes", sql.with_(sql.BASE, sql.Q12_PALETTE, "n as (select crop_id, count(*) as n from qpal group by crop_id)") + f"select {r6('avg(case when n < 5 then 1e0 else 0e0 end)')} as below_five, {r6('avg(n)')} as mean_size from n")
+def _(spark, d):
+    n = histogram.q12_palette(_hist(spark, d)).groupBy("crop_id").agg(F.count("*").alias("n"))
+    return n.agg(_r(F.avg((F.col("n") < 5).cast("double")), "below_five"), _r(F.avg("n"), "mean_size"))
+
+
+@query("throughput_trials", sql.with_(sql.OBSERVATIONS, "t as (select method, event_id % 5 as trial, count(*) / greatest(sum(elapsed_ms) / 1000, 1e-12) as rate from obs group by all)") + "select method, round(avg(rate), 4) as mean, round(quantile_cont(rate, 0.5), 4) as p50, round(quantile_cont(rate, 0.95), 4) as p95 from t group by method")
+def _(spark, d):
+    rate = F.count("*") / F.greatest(F.sum("elapsed_ms") / 1000, F.lit(1e-12))
+    t = _obs(spark, d).groupBy("method", (F.col("event_id") % 5).alias("trial")).agg(rate.alias("rate"))
+    return t.groupBy("method").agg(F.round(F.avg("rate"), 4).alias("mean"), F.round(F.percentile("rate", 0.5), 4).alias("p50"), F.round(F.percentile("rate", 0.95), 4).alias("p95"))
+
+
+@query("latency_bars", sql.with_(sql.OBSERVATIONS, "p as (select method, quantile_cont(elapsed_ms, 0.95) as p95, count(distinct crop_id) as crops, max(elapsed_ms) as slowest from obs group by method)") + f"select method, {r6('p95 / max(p95) over ()')} as bar, crops, {r6('slowest')} as slowest from p")
+def _(spark, d):
+    p = _obs(spark, d).groupBy("method").agg(F.percentile("elapsed_ms", 0.95).alias("p95"), F.count_distinct("crop_id").alias("crops"), F.max("elapsed_ms").alias("slowest"))
+    top = p.agg(F.max("p95").alias("top"))
+    return p.crossJoin(F.broadcast(top)).select("method", _r(F.col("p95") / F.col("top"), "bar"), "crops", _r("slowest", "slowest"))
+
+
+@query("segment_means", sql.with_(sql.SCENE) + f"select crop_id, x // 5 + 5 * (y // 5) as segment, count(*) as n, {r6('avg(r)')} as r, {r6('avg(g)')} as g, {r6('avg(b)')} as b from px group by all")
+def _(spark, d):
+    segment = (F.floor(F.col("x") / 5) + 5 * F.floor(F.col("y") / 5)).cast("int")
+    return _px(spark, d).groupBy("crop_id", segment.alias("segment")).agg(F.count("*").alias("n"), *(_r(F.avg(c), c) for c in "rgb"))
+
+
+@query("lockstep_mismatch", sql.with_(sql.OBSERVATIONS, "a as (select distinct crop_id from obs where event_id % 3 = 0), b as (select distinct crop_id from obs where event_id % 2 = 0)") + "select coalesce(a.crop_id, b.crop_id) as crop_id, a.crop_id is null as missing_left, b.crop_id is null as missing_right from a full join b on a.crop_id = b.crop_id where a.crop_id is null or b.crop_id is null")
+def _(spark, d):
+    ids = lambda k: _obs(spark, d).filter(F.col("event_id") % k == 0).select("crop_id").distinct()
+    a, b = ids(3).withColumn("l", F.lit(True)), ids(2).withColumn("r", F.lit(True))
+    met = a.join(b, "crop_id", "full").filter("l is null or r is null")
+    return met.select("crop_id", F.col("l").isNull().alias("missing_left"), F.col("r").isNull().alias("missing_right"))
+
+
+@query("external_results_join", sql.with_(sql.OBSERVATIONS, "x as (select event_id, route as kind, crop_id as id, coverage from obs where event_id % 4 = 0), o as (select route as kind, crop_id as id, max(elapsed_ms) as slowest from obs group by all)") + f"select event_id, kind, id, {r6('slowest')} as slowest from x join o using (kind, id)")
+def _(spark, d):
+    obs = _obs(spark, d).withColumnsRenamed({"route": "kind", "crop_id": "id"})
+    slow = obs.groupBy("kind", "id").agg(F.max("elapsed_ms").alias("slowest"))
+    return obs.filter("event_id % 4 = 0").select("event_id", "kind", "id").join(slow, ["kind", "id"]).select("event_id", "kind", "id", _r("slowest", "slowest"))
+
+
+@query("method_set_operations", sql.with_(sql.OBSERVATIONS, "a as (select crop_id from obs where route = 'flat'), b as (select crop_id from obs where route = 'texture')") + "select 'both' as side, count(*) as n from (select * from a intersect select * from b) union all select 'flat only', count(*) from (select * from a except select * from b) union all select 'any', count(*) from (select * from a union select * from b)")
+def _(spark, d):
+    obs = _obs(spark, d)
+    a, b = (obs.filter(F.col("route") == r).select("crop_id") for r in ("flat", "texture"))
+    count = lambda df, side: df.agg(F.count("*").alias("n")).select(F.lit(side).alias("side"), "n")
+    return count(a.intersect(b), "both").unionByName(count(a.subtract(b), "flat only")).unionByName(count(a.union(b).distinct(), "any"))
+
+
+@query("method_order", sql.with_(sql.OBSERVATIONS) + "select method, row_number() over (order by list_position(['view', 'click', 'purchase', 'signup', 'logout'], method) nulls last, method) as place from (select distinct method from obs)")
+def _(spark, d):
+    known = F.array(*map(F.lit, ("view", "click", "purchase", "signup", "logout")))
+    place = F.nullif(F.array_position(known, F.col("method")), F.lit(0))
+    # a handful of methods
+    w = Window.orderBy(place.asc_nulls_last(), "method")
+    return _obs(spark, d).select("method").distinct().select("method", F.row_number().over(w).alias("place"))
+
+
+# Kernels: checked by properties, not by SQL
+
+
+def _method(name: str) -> Query:
+    return lambda spark, d: methods.extract(_px(spark, d), name)
+
+
+for _name in methods.METHODS:
+    if _name not in ("adaptive_v1", "tencent_hsv"):
+        QUERIES[f"palette_{_name}"] = _method(_name)
+
+
+@query("palette_oklab_kmeans")
+def _(spark, d):
+    return clustering.cluster(_hist(spark, d), "oklab_kmeans")
 
 
 @query("palette_liq_like_observed")
@@ -669,11 +779,6 @@ def _(spark, d):
     return observed.nearest(clustering.cluster(hist, "oklab_kmeans"), hist)
 
 
-@query("palette_salient_regions")
-def _(spark, d):
-    return clustering.salient(_px(spark, d))
-
-
 @query("shared_channel_centres")
 def _(spark, d):
     image = F.floor(F.col("crop_id") / 4).cast("int").alias("image_id")
