@@ -22,6 +22,8 @@ PROBES = 4
 MIN_BITS = 1 << 18
 MAX_BITS = 1 << 26
 PAGE = 1 << 15  # bits, 4 KB
+#: Rows whose pages one task merges, most tasks that merge, and most that the driver reads.
+ROWS_A_MERGE, MERGE_TASKS, LAST_TASKS = 2_000_000, 512, 8
 
 
 def bits_for(keys: int) -> int:
@@ -41,7 +43,14 @@ def _probes(keys: np.ndarray, bits: int) -> list[np.ndarray]:
     return [((a + np.uint64(i) * b) & np.uint64(bits - 1)).astype(np.int64) for i in range(PROBES)]
 
 
-def _count_pages(bits: int, salts: int) -> Callable:
+def _pages(once: np.ndarray, twice: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (page, bits) of the pages that hold anything, packed."""
+    for page in np.flatnonzero(once.any(axis=1)):
+        packed = zlib.compress(once[page].tobytes() + twice[page].tobytes(), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([page], pa.int32()), pa.array([packed], pa.binary())], names=["page", "bits"])
+
+
+def _count(bits: int) -> Callable:
     """Each task counts every bit to 0, 1 or 2 and sends the pages it touched.
 
     A key sets each of its bits once per row, so a bit that reads 2 was set by
@@ -49,8 +58,6 @@ def _count_pages(bits: int, salts: int) -> Callable:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         seen = np.zeros(bits, dtype=np.uint8)
         for batch in batches:
             keys = batch.column(0).drop_null().to_numpy(zero_copy_only=False)
@@ -62,51 +69,54 @@ def _count_pages(bits: int, salts: int) -> Callable:
             np.add.at(seen, p[first], count.astype(np.uint8))
             np.minimum(seen, 2, out=seen)
         pages = seen.reshape(-1, PAGE)
-        salt = TaskContext.get().partitionId() % salts
-        for page in np.flatnonzero(pages.any(axis=1)):
-            yield _row(int(page), salt, pages[page])
+        yield from _pages(np.packbits(pages >= 1, axis=1), np.packbits(pages >= 2, axis=1))
 
     return run
 
 
-def _row(page: int, salt: int, counts: np.ndarray) -> pa.RecordBatch:
-    once, twice = np.packbits(counts >= 1), np.packbits(counts >= 2)
-    packed = zlib.compress(once.tobytes() + twice.tobytes(), 1)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([page], pa.int32()), pa.array([salt], pa.int32()), pa.array([packed], pa.binary())],
-        names=["page", "salt", "bits"],
-    )
+class _Merged:
+    """Pages of many tasks: bits of any, and bits of two."""
 
+    def __init__(self, bits: int):
+        self.once = np.zeros((bits // PAGE, PAGE // 8), np.uint8)
+        self.twice = self.once.copy()
 
-def _merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    once = np.zeros(PAGE // 8, np.uint8)
-    twice = once.copy()
-    for packed in pdf["bits"]:
+    def add(self, page: int, packed: bytes) -> None:
         raw = np.frombuffer(zlib.decompress(packed), np.uint8)
-        twice |= raw[PAGE // 8 :] | (once & raw[: PAGE // 8])
-        once |= raw[: PAGE // 8]
-    packed = zlib.compress(once.tobytes() + twice.tobytes(), 1)
-    return pd.DataFrame({"page": [key[0]], "salt": [0], "bits": [packed]})
+        once, twice = raw[: PAGE // 8], raw[PAGE // 8 :]
+        self.twice[page] |= twice | (self.once[page] & once)
+        self.once[page] |= once
+
+
+def _merge(bits: int) -> Callable:
+    """A task holds one filter, whatever comes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Merged(bits)
+        for batch in batches:
+            for page, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.add(page, packed)
+        yield from _pages(held.once, held.twice)
+
+    return run
 
 
 def build(spark: SparkSession, keys: DataFrame, rows: int, repeated: bool) -> tuple[int, object]:
     """(bits, broadcast filter) of the one long column of ``keys``.
 
     ``repeated``: of the keys that may occur in two rows; else of all keys. The
-    pages of many tasks merge in two steps, so that no group has more than the
-    square root of the tasks.
+    pages of all tasks merge in as many tasks as the rows ask for, then in a
+    few; the driver gets one filter from each of these.
     """
     bits = bits_for(rows)
-    schema = "page int, salt int, bits binary"
-    salts = max(1, math.isqrt(max(1, rows // 4096)))
-    pages = keys.mapInArrow(_count_pages(bits, salts), schema)
-    pages = pages.groupBy("page", "salt").applyInPandas(_merge, schema)
-    if salts > 1:
-        pages = pages.groupBy("page").applyInPandas(_merge, schema)
-    filled = np.zeros((bits // PAGE, PAGE // 8), np.uint8)
-    for page, packed in pages.select("page", "bits").toLocalIterator():  # at most MAX_BITS in all
-        raw = np.frombuffer(zlib.decompress(packed), np.uint8)
-        filled[page] = raw[PAGE // 8 :] if repeated else raw[: PAGE // 8]
+    schema = "page int, bits binary"
+    pages = keys.mapInArrow(_count(bits), schema)
+    for tasks in sorted({min(MERGE_TASKS, max(1, rows // ROWS_A_MERGE)), min(LAST_TASKS, max(1, rows // ROWS_A_MERGE))}, reverse=True):
+        pages = pages.repartition(tasks).mapInArrow(_merge(bits), schema)
+    held = _Merged(bits)
+    for page, packed in pages.toLocalIterator():
+        held.add(page, packed)
+    filled = held.twice if repeated else held.once
     return bits, spark.sparkContext.broadcast(filled.tobytes())
 
 

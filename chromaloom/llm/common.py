@@ -79,3 +79,13 @@ def id_and_text(docs: DataFrame, *more: str) -> DataFrame:
 def schema_with(df: DataFrame, *more: str) -> T.StructType:
     """The schema of ``df`` with further fields, each written "name type"."""
     return T.StructType([*df.schema.fields, *T.DataType.fromDDL(", ".join(more)).fields])
+
+
+def with_least(rows: DataFrame, key: str, value: str, salts: int = 64) -> DataFrame:
+    """``rows`` with _least, the smallest ``value`` of the rows of its ``key``, and
+    _rows, their number. A key's rows spread over ``salts`` tasks, so one that
+    holds a third of all rows doesn't gather anywhere."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(salts)))
+    part = salted.groupBy(key, "_salt").agg(F.min(value).alias("_least"), F.count("*").alias("_rows"))
+    whole = part.groupBy(key).agg(F.min("_least").alias("_least"), F.sum("_rows").alias("_rows"))
+    return salted.join(part.select(key, "_salt").join(whole, key), [key, "_salt"]).drop("_salt")

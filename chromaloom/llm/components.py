@@ -12,6 +12,12 @@ def _least_neighbour(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m"))
 
 
+def _is_forest(edges: DataFrame) -> bool:
+    """Whether every u has one v and no v is a u: then v is its component."""
+    n, distinct = edges.agg(F.count("*"), F.count_distinct("u")).first()
+    return n == distinct and edges.join(edges.select(F.col("u").alias("x")), F.col("v") == F.col("x"), "left_semi").limit(1).count() == 0
+
+
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable, for every id in ``links(a, b)``.
 
@@ -23,19 +29,14 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     edges = links.filter(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     edges = stage(spark, edges, "edges")
-    before = None
-    while True:
+    while not _is_forest(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = _least_neighbour(both).select("u", F.least("u", "m").alias("m"))
         # large star: larger neighbours hang below the least of the neighbourhood
-        large = both.filter("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        large = both.filter("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
         m = _least_neighbour(large)
         # small star: smaller neighbours and the node itself likewise
         small = large.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(m.select("u", F.col("m").alias("v")))
         edges = stage(spark, small.filter("u != v").distinct(), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum("v")).first()
-        if now == before:
-            break
-        before = now
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)

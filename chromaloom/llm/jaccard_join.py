@@ -1,17 +1,18 @@
 """N-gram Jaccard join with parity sketches.
 
 Two shingle sets with 100*|A & B| >= t*|A | B| differ in at most
-D = (|A| + |B|)(100 - t)/(100 + t) shingles. Per size band a document's
-shingles are dealt to K pieces of 64 bits and each shingle flips one bit of its
-piece, so the Hamming distance of two sketches is at most the size of the
-symmetric difference, and at most D pieces differ. A document of n shingles
-drops its s(n) lightest pieces, which say least, where s(a) + s(b) < K - D for
-all partners: one piece that neither drops is equal in both. Documents join on
-equal pieces:
+D = (|A| + |B|)(100 - t)/(100 + t) shingles. A shingle flips one bit of a
+document's sketch, so the Hamming distance of two sketches is at most the size
+of the symmetric difference. Per size band there are two of them: a small one
+of about a bit a shingle, for Hamming distances, and one of K very wide pieces,
+of each of which only the XOR of its bits' 64-bit hashes is kept. At most D
+pieces differ. A document of n shingles drops its s(n) lightest pieces, which
+say least, where s(a) + s(b) < K - D for all partners: one piece that neither
+drops is equal in both. Documents join on equal pieces:
 
 1. equal sets collapse to the one of the smallest id;
 2. in each bucket of equal pieces all members are paired with the smallest id
-   (never with each other: rows stay in proportion to the pieces), the folded
+   (never with each other: rows stay in proportion to the pieces), the small
    sketches discard pairs beyond D, the rest are verified on the sets;
 3. links become components. Only where a bucket still holds more than one
    component are the sketches of its members compared across components, inside
@@ -34,7 +35,7 @@ from pyspark.sql.window import Window
 
 from chromaloom.llm import bloom
 from chromaloom.llm.bloom import mix
-from chromaloom.llm.common import id_and_text, stage, table
+from chromaloom.llm.common import id_and_text, stage, table, with_least
 from chromaloom.llm.components import components
 from chromaloom.llm.shingles import WordHashes, shingle_set
 
@@ -48,11 +49,12 @@ def bands(percent: int) -> list[tuple[int, int, int]]:
     """(first size, pieces, words of the folded sketch) by band.
 
     Band k serves the pairs whose smaller set lies in it; the larger one has at
-    most 100/percent times its size.
+    most 100/percent times its size and so lies in it or in the next one.
     """
     out, first = [], 1
+    growth = max(GROWTH, 100 / percent)
     while first < 1 << 31:
-        after = max(first + 1, int(first * GROWTH))
+        after = max(first + 1, int(first * growth), (first - 1) * 100 // percent + 1)
         a = after - 1
         b = a * 100 // percent
         most = (a + b) * (100 - percent) // (100 + percent)
@@ -82,14 +84,13 @@ def sketch(shingles: np.ndarray, band: int, percent: int) -> tuple[np.ndarray, n
     drop = dropped(len(shingles), pieces, percent)
     z = mix(shingles ^ np.uint64(0xA0761D6478BD642F * (band + 1) % 2**64))
     piece = ((z >> np.uint64(32)) % np.uint64(pieces)).astype(np.int64)
-    words = np.zeros(pieces, np.uint64)
-    np.bitwise_xor.at(words, piece, np.uint64(1) << (z & np.uint64(63)))
+    parity = np.zeros(pieces, np.uint64)
+    np.bitwise_xor.at(parity, piece, z)
+    bit = (z & np.uint64(0xFFFFFFFF)) % np.uint64(64 * folded)
     fold = np.zeros(folded, np.uint64)
-    np.bitwise_xor.at(fold, np.arange(pieces) % folded, words)
-    kept = np.arange(pieces)
-    if drop:
-        kept = np.sort(np.argsort(np.bitwise_count(words), kind="stable")[drop:])
-    keys = mix(words[kept] + mix(kept.astype(np.uint64) + np.uint64(band << 40) + np.uint64(1)))
+    np.bitwise_xor.at(fold, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    kept = np.argsort(np.bincount(piece, minlength=pieces), kind="stable")[drop:]
+    keys = mix(parity[kept] + mix(kept.astype(np.uint64) + np.uint64(band << 40) + np.uint64(1)))
     return keys, fold
 
 
@@ -134,10 +135,14 @@ def _print(s: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
 
 
-def _sets(size: int) -> Callable:
+def _sets(size: int, bits: int, filled: object) -> Callable:
+    """The sets of the documents that the filter may hold."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
+        held = np.frombuffer(filled.value, np.uint8)
         for batch in batches:
+            batch = batch.filter(pa.array(bloom.test(held, batch.column(0).to_numpy(), bits)))
             for at in range(0, batch.num_rows, 200):
                 ids, texts = batch.column(0).slice(at, 200), batch.column(1).slice(at, 200)
                 found = [shingle_set(t.as_py(), size, memo).tobytes() for t in texts]
@@ -180,7 +185,8 @@ def _across(spark: SparkSession, open_: DataFrame, heads: DataFrame, percent: in
 
 def _compared(percent: int) -> Callable:
     def folds(column: pa.Array, rows: np.ndarray) -> np.ndarray:
-        return np.array(column.take(pa.array(rows)).to_pylist(), np.int64)
+        # one band, so one length
+        return column.take(pa.array(rows)).flatten().to_numpy().reshape(len(rows), -1)
 
     def pairs(t: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         ids, comp, block, across, n, own = (t.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "component", "block", "across", "n_shingles", "own"))
@@ -256,20 +262,21 @@ class _Verifier:
         if n == 0:
             return pairs
         bits, filled = bloom.build(spark, ids, n, repeated=False)
-        texts = self.docs.filter(F.col("doc_id").isNotNull() & bloom.might_contain("doc_id", bits, filled))
-        sets = stage(spark, texts.mapInArrow(_sets(self.size), "id long, hashes binary").join(ids, "id", "left_semi"), "sets")
+        texts = self.docs.filter("doc_id is not null").mapInArrow(_sets(self.size, bits, filled), "id long, hashes binary")
+        sets = stage(spark, texts.join(ids, "id", "left_semi"), "sets")
         met = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a")
         met = met.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y")
         return stage(spark, met.mapInArrow(_verified(self.percent), "a long, b long").distinct(), "links")
 
 
-def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends lie in different components."""
+def _labelled(pairs: DataFrame, labels: DataFrame, keep: bool = False) -> DataFrame:
+    """Pairs whose ends lie in different components; with ``keep``, also which."""
     out = pairs
     for side in ("a", "b"):
         named = labels.select(F.col("id").alias(f"id_{side}"), F.col("component").alias(f"c_{side}"))
         out = out.join(named, F.col(side) == F.col(f"id_{side}"), "left").withColumn(f"c_{side}", F.coalesce(f"c_{side}", side)).drop(f"id_{side}")
-    return out.filter("c_a != c_b").drop("c_a", "c_b")
+    out = out.filter("c_a != c_b")
+    return out if keep else out.drop("c_a", "c_b")
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
@@ -279,19 +286,20 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = 4, perc
       with nothing; fewer words than ``size`` make one shingle.
     * A null doc_id can't name a component: such rows return with null ids.
     * Rows that repeat a doc_id and its text return as often; of a doc_id with
-      several texts each row is linked by its own text and the id joins them.
+      several texts each row is linked by its own text.
     * An empty table gives an empty result; further columns are not read.
     """
     read = id_and_text(docs)
     made = stage(spark, read.mapInArrow(_sketches(size, percent), _SKETCHED), "sketches")
-    full = made.filter("n_shingles > 0 and doc_id is not null").withColumn("h", F.xxhash64("print"))
-    classes = full.groupBy("print").agg(F.min("doc_id").alias("class_id"))
     # sets that no other row may have pass as they are; the rest meet their class
+    full = made.filter("n_shingles > 0 and doc_id is not null").withColumn("h", F.xxhash64("print"))
     bits, filled = bloom.build(spark, full.select("h"), full.count(), repeated=True)
-    marked = full.filter("keys is not null").withColumn("again", bloom.might_contain("h", bits, filled)).drop("h")
-    of = classes.withColumnRenamed("print", "class_print")
-    met = marked.filter("again").join(of, (F.col("print") == F.col("class_print")) & (F.col("doc_id") == F.col("class_id")), "left_semi")
-    heads = marked.filter("not again").unionByName(met.dropDuplicates(["doc_id", "print"])).drop("again")
+    again = bloom.might_contain("h", bits, filled)
+    classes = stage(spark, with_least(full.filter(again).select("doc_id", "print"), "print", "doc_id").select("doc_id", "print", F.col("_least").alias("class_id")).distinct(), "classes")
+    sketched = full.filter("keys is not null").withColumn("again", again).drop("h")
+    first = classes.filter("doc_id = class_id").select(F.col("doc_id").alias("_id"), F.col("print").alias("_print"))
+    met = sketched.filter("again").join(first, (F.col("doc_id") == F.col("_id")) & (F.col("print") == F.col("_print")), "left_semi")
+    heads = sketched.filter("not again").unionByName(met.dropDuplicates(["doc_id", "print"])).drop("again")
 
     buckets = heads.select("doc_id", F.explode("keys").alias("key"))
     w = Window.partitionBy("key")
@@ -304,12 +312,11 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = 4, perc
     # the partner with most equal pieces first: most others then lie in the same component
     best = sure.groupBy("a").agg(F.max(F.struct("equal", (-F.col("b")).alias("b"))).alias("m")).select("a", (-F.col("m.b")).alias("b"))
     links = test.links(best)
-    # exact copies of a set, and rows of one doc_id with several texts
-    labels = components(spark, links)
-    rest = stage(spark, _labelled(sure.select("a", "b"), labels), "rest")
+    one_step = links.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    rest = stage(spark, _labelled(sure.select("a", "b"), one_step), "rest")
     if rest.limit(1).count():
         links = links.unionByName(test.links(rest))
-        labels = components(spark, links)
+    labels = stage(spark, components(spark, links), "labels")
 
     # buckets that still hold several components
     named = labels.select(F.col("id").alias("doc_id"), "component")
@@ -317,15 +324,21 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = 4, perc
     split = many.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key")
     open_ = stage(spark, many.join(split, "key", "left_semi").filter("doc_id != hub").select("key", "doc_id", "component", "members"), "open")
     across = _across(spark, open_, heads, percent)
-    more = stage(spark, test.near(across), "across")
+    more = stage(spark, across, "across")
     if more.limit(1).count():
-        links = links.unionByName(test.links(more))
-        labels = components(spark, links)
+        # between components found so far
+        joined = _labelled(test.links(more), labels, keep=True)
+        above = components(spark, joined.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
+    else:
+        above = labels.limit(0)
 
-    classed = made.select("doc_id", "n_shingles", "print").join(classes, "print", "left")
-    found = classed.join(labels.select(F.col("id").alias("class_id"), "component"), "class_id", "left")
-    component = F.coalesce("component", "class_id", "doc_id")
-    return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
+    at = lambda df, name: df.select(F.col("id").alias(f"_{name}"), F.col("component").alias(name))
+    own = classes.select(F.col("doc_id").alias("_own"), F.col("print").alias("_of"), "class_id")
+    found = made.select("doc_id", "n_shingles", "print").join(own, (F.col("doc_id") == F.col("_own")) & (F.col("print") == F.col("_of")), "left")
+    found = found.withColumn("class_id", F.coalesce("class_id", "doc_id"))
+    found = found.join(at(labels, "c1"), F.col("class_id") == F.col("_c1"), "left").withColumn("c1", F.coalesce("c1", "class_id"))
+    found = found.join(at(above, "c2"), F.col("c1") == F.col("_c2"), "left")
+    return found.select("doc_id", "n_shingles", F.coalesce("c2", "c1").alias("component_id"), "class_id")
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
@@ -343,3 +356,19 @@ def deduplicated(spark: SparkSession, docs: DataFrame, size: int = 4, percent: i
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark, table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select doc_id, case when len(w) >= 4 then list_sort(list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from w),
+c as (select doc_id, s, len(s) as n, case when len(s) > 0 then min(doc_id) over (partition by s) else doc_id end as class_id from s),
+h as (select doc_id, n, unnest(s) as g from c where doc_id = class_id and n > 0),
+p as (select a.doc_id as a, b.doc_id as b, a.n as na, b.n as nb, count(*) as both_ from h a join h b on a.g = b.g and a.doc_id < b.doc_id group by all),
+l as (select a, b from p where 100 * both_ >= 85 * (na + nb - both_)),
+e as (select a as x, b as y from l union select b, a from l),
+r as (select x, x as y from e union select r.x, e.y from r join e on r.y = e.x),
+k as (select x, min(y) as component_id from r group by x)
+select c.doc_id, cast(c.n as bigint) as n_shingles, coalesce(k.component_id, c.class_id) as component_id, c.class_id
+from c left join k on k.x = c.class_id
+"""

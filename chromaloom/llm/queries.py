@@ -20,4 +20,5 @@ ORACLES = {
     "op4_licenses": licenses.OP4_SQL,
     "op8_chat_format": chat.OP8_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
+    "op10_jaccard_join": jaccard_join.OP10_SQL,
 }
