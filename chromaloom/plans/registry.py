@@ -676,8 +676,8 @@ def _(spark, d):
 
 @query(
     "anchor_crops",
-    sql.with_("i as (select c_custkey as id, cast(200 + c_custkey * 37 % 900 as int) as width, cast(150 + c_custkey * 53 % 700 as int) as height from customer), v as (select * from (values ('top_left', 0.08e0), ('center', 0.5e0), ('bottom_right', 0.92e0)) as t(variant, at)), s as (select *, greatest(64, cast(round_even(least(width, height) * 0.48e0, 0) as int)) as side from i, v)")
-    + "select id, variant, side, cast(round_even(greatest(0, least(at * width - side / 2e0, width - side)), 0) as int) as left_, cast(round_even(greatest(0, least(at * height - side / 2e0, height - side)), 0) as int) as top_ from s",
+    sql.with_("i as (select c_custkey as id, cast(200 + c_custkey * 37 % 900 as int) as width, cast(150 + c_custkey * 53 % 700 as int) as height from customer), v as (select * from (values ('top_left', 0.08e0), ('center', 0.5e0), ('bottom_right', 0.92e0)) as t(variant, pos)), s as (select *, greatest(64, cast(round_even(least(width, height) * 0.48e0, 0) as int)) as side from i, v)")
+    + "select id, variant, side, cast(round_even(greatest(0, least(pos * width - side / 2e0, width - side)), 0) as int) as left_, cast(round_even(greatest(0, least(pos * height - side / 2e0, height - side)), 0) as int) as top_ from s",
 )
 def _(spark, d):
     k = F.col("c_custkey")
@@ -718,10 +718,10 @@ def _(spark, d):
     return _px(spark, d).groupBy("crop_id", segment.alias("segment")).agg(F.count("*").alias("n"), *(_r(F.avg(c), c) for c in "rgb"))
 
 
-@query("lockstep_mismatch", sql.with_(sql.OBSERVATIONS, "a as (select distinct crop_id from obs where event_id % 3 = 0), b as (select distinct crop_id from obs where event_id % 2 = 0)") + "select coalesce(a.crop_id, b.crop_id) as crop_id, a.crop_id is null as missing_left, b.crop_id is null as missing_right from a full join b on a.crop_id = b.crop_id where a.crop_id is null or b.crop_id is null")
+@query("lockstep_mismatch", sql.with_(sql.OBSERVATIONS, "a as (select distinct crop_id from obs where event_id % 90 = 0), b as (select distinct crop_id from obs where event_id % 70 = 0)") + "select coalesce(a.crop_id, b.crop_id) as crop_id, a.crop_id is null as missing_left, b.crop_id is null as missing_right from a full join b on a.crop_id = b.crop_id where a.crop_id is null or b.crop_id is null")
 def _(spark, d):
     ids = lambda k: _obs(spark, d).filter(F.col("event_id") % k == 0).select("crop_id").distinct()
-    a, b = ids(3).withColumn("l", F.lit(True)), ids(2).withColumn("r", F.lit(True))
+    a, b = ids(90).withColumn("l", F.lit(True)), ids(70).withColumn("r", F.lit(True))
     met = a.join(b, "crop_id", "full").filter("l is null or r is null")
     return met.select("crop_id", F.col("l").isNull().alias("missing_left"), F.col("r").isNull().alias("missing_right"))
 
