@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Rgb = Sequence[Column | str]
@@ -105,5 +105,20 @@ def hsv_bin(rgb: Rgb = ("r", "g", "b")) -> Column:
     return F.when(s < GREY_S, HUES * SATS * VALS + cell(v, VALS)).otherwise(cell(h, HUES) * SATS * VALS + cell(s, SATS) * VALS + cell(v, VALS))
 
 
+def with_hsv_bin(rows: DataFrame, name: str = "bin") -> DataFrame:
+    """``rows`` with the HSV cell of r, g, b. The same as hsv_bin(), step by step:
+    each step's columns are used several times and so stay columns of their own,
+    which keeps the generated code small."""
+    keep = rows.columns
+    out = rows.withColumns({f"_{c}": F.col(c) / F.lit(255.0) for c in "rgb"})
+    out = out.withColumns({"_v": F.greatest("_r", "_g", "_b"), "_d": F.greatest("_r", "_g", "_b") - F.least("_r", "_g", "_b")})
+    r, g, b, v, d = (F.col(f"_{c}") for c in "rgbvd")
+    sector = F.when(r == v, F.pmod((g - b) / d, F.lit(6.0))).when(g == v, (b - r) / d + 2).otherwise((r - g) / d + 4)
+    out = out.withColumns({"_h": F.when(d > 1e-12, F.pmod(sector / 6, F.lit(1.0))).otherwise(0.0), "_s": F.when(v > 1e-12, d / v).otherwise(0.0)})
+    cell = lambda x, n: F.least((F.col(x) * n).cast("int"), F.lit(n - 1))
+    grey = HUES * SATS * VALS + cell("_v", VALS)
+    return out.select(*keep, F.when(F.col("_s") < GREY_S, grey).otherwise(cell("_h", HUES) * SATS * VALS + cell("_s", SATS) * VALS + cell("_v", VALS)).alias(name))
+
+
 def weight_u16(w: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(65535), F.rint(w * 65535).cast("int")))

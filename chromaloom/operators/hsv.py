@@ -16,23 +16,26 @@ KERNEL = (1, 2, 3, 2, 1)
 
 
 def bins(hist: DataFrame) -> DataFrame:
-    return histogram.by_key(hist, color.hsv_bin(), "bin")
+    return histogram.by_key(color.with_hsv_bin(hist), F.col("bin"), "bin")
 
 
 def weighted_bins(hist: DataFrame, places: int | None = None) -> DataFrame:
     """Mass and weighted mean colour of each occupied cell."""
     mean = lambda c: (F.sum(F.col("mass") * F.col(c)) / F.sum("mass")).alias(c)
-    out = hist.withColumn("bin", color.hsv_bin()).groupBy("crop_id", "bin").agg(F.sum("mass").alias("m"), F.sum("n").alias("n"), mean("r"), mean("g"), mean("b"))
+    out = color.with_hsv_bin(hist).groupBy("crop_id", "bin").agg(F.sum("mass").alias("m"), F.sum("n").alias("n"), mean("r"), mean("g"), mean("b"))
     return out.withColumnRenamed("m", "mass")
 
 
 def smoothed_hues(binned: DataFrame) -> DataFrame:
     """crop_id, hue, smoothed: chromatic mass by hue, each hue adding to its two
     neighbours on either side of the circle."""
-    hues = binned.filter(F.col("bin") < GREYS).groupBy("crop_id", F.floor(F.col("bin") / 16).cast("int").alias("hue")).agg(F.sum("mass").alias("mass"))
+    # greys weigh nothing rather than being filtered: a filter on the cell would
+    # be pushed below the aggregation with the cell's whole expression in it
+    chromatic = F.when(F.col("bin") < GREYS, F.col("mass")).otherwise(0.0)
+    hues = binned.groupBy("crop_id", F.floor(F.col("bin") / 16).cast("int").alias("hue")).agg(F.sum(chromatic).alias("mass"))
     taps = F.array(*(F.struct(F.lit(i - 2).alias("by"), F.lit(float(k)).alias("k")) for i, k in enumerate(KERNEL)))
     spread = hues.withColumn("tap", F.explode(taps))
-    return spread.groupBy("crop_id", F.pmod(F.col("hue") + F.col("tap.by"), F.lit(color.HUES)).alias("hue")).agg(F.sum(F.col("mass") * F.col("tap.k")).alias("smoothed"))
+    return spread.groupBy("crop_id", F.pmod(F.col("hue") + F.col("tap.by"), F.lit(color.HUES)).alias("hue")).agg(F.sum(F.col("mass") * F.col("tap.k")).alias("smoothed")).filter("smoothed > 0")
 
 
 def winner(hist: DataFrame) -> DataFrame:
@@ -60,7 +63,7 @@ def dominant(hist: DataFrame) -> DataFrame:
     """crop_id, r, g, b, route, confidence: the observed colour nearest to the
     mean of the winning cell."""
     won = winner(hist)
-    inside = hist.withColumn("bin", color.hsv_bin()).join(won, ["crop_id", "bin"])
+    inside = color.with_hsv_bin(hist).join(won, ["crop_id", "bin"])
     colour = histogram.representative(inside, ("crop_id", "bin", "route", "share"))
     return colour.select("crop_id", "r", "g", "b", "bin", "route", F.least(F.lit(1.0), F.col("share")).alias("confidence"))
 
@@ -69,7 +72,7 @@ def palette(hist: DataFrame, k: int = histogram.DEFAULT_COLOURS) -> DataFrame:
     """The winner's colour, then representatives of the heaviest cells that lie
     far enough from it and from each other."""
     cells = histogram.top(bins(hist), "bin", CANDIDATES).select("crop_id", "bin", "rank", "ratio")
-    inside = hist.withColumn("bin", color.hsv_bin())
+    inside = color.with_hsv_bin(hist)
     colours = histogram.representative(inside.join(cells, ["crop_id", "bin"]), ("crop_id", "bin", "rank", "ratio"))
     first = dominant(hist).join(bins(hist).select("crop_id", "bin", "ratio"), ["crop_id", "bin"])
     both = colours.select("crop_id", "bin", "rank", "ratio", "r", "g", "b").unionByName(first.select("crop_id", "bin", F.lit(0).alias("rank"), "ratio", "r", "g", "b"))
