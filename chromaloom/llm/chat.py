@@ -29,6 +29,8 @@ from chromaloom.llm.common import stage, table
 OPEN, MID, CLOSE = "<s>[ROLE]", "[/ROLE]", "</s>"
 #: Conversations in a pack on average, and the role whose text is learnt.
 PACK, LEARNT = 128, "assistant"
+#: Parts of a tree's conversations that meet its figures apart from each other.
+SALTS = 16
 
 _ESCAPED = re.compile(r"\\\\|<\\|\[\\")
 _TURN = re.compile(re.escape(OPEN) + r"(.*?)" + re.escape(MID) + r"(.*?)" + re.escape(CLOSE), re.S)
@@ -143,7 +145,10 @@ def format_chats(spark: SparkSession, turns: DataFrame, pack: int = PACK) -> tup
     # small trees are one pack; large ones are cut by branch, large branches by conversation
     trees = distinct.groupBy("tree").agg(F.ceil(F.count("*") / pack).alias("cuts")).filter("cuts > 1")
     branches = distinct.groupBy("tree", "branch").agg(F.ceil(F.count("*") / pack).alias("own")).filter("own > 1").drop("tree")
-    cut = distinct.join(trees, "tree", "left").join(branches, "branch", "left")
+    # conversations of one tree meet its number of cuts in several tasks
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    cut = distinct.withColumn("salt", F.pmod(F.xxhash64("conv_key"), F.lit(SALTS)).cast("int"))
+    cut = cut.join(trees.withColumn("salt", salts), ["tree", "salt"], "left").join(branches.withColumn("salt", salts), ["branch", "salt"], "left")
     part = F.when(F.col("own").isNotNull(), F.concat(F.col("branch"), F.lit("/"), F.pmod(F.xxhash64("conv_key"), "own"))).when(
         F.col("cuts").isNotNull(), F.pmod(F.xxhash64("branch"), "cuts").cast("string")
     )
