@@ -14,6 +14,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from chromaloom.llm.common import new_path, table
@@ -35,8 +36,9 @@ def size_of(text: Column) -> Column:
 def write_shards(
     spark: SparkSession, docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES
 ) -> None:
-    """Writes Parquet folders ``shard=N`` with the columns slot and record (all
-    columns of ``docs``, so no name can clash).
+    """Writes below ``path`` the rows, as Parquet folders ``shard=N`` with the
+    columns bucket, at (place in the bucket) and record (all columns of ``docs``,
+    so no name can clash), and an index of the buckets' first slots.
 
     Law ``key``: doc_id and the number of shards decide a row's shard; rows
     without an id share one. Slots count from 0 without gaps in each shard.
@@ -55,23 +57,24 @@ def write_shards(
     gathered = scattered.groupBy("shard", "bucket").agg(F.sort_array(F.collect_list(F.struct("h", "record"))).alias("rows"))
     shuffled = gathered.select("shard", "bucket", F.shuffle("rows", F.lit(seed + 2)).alias("rows"))
     spread = shuffled.select("shard", "bucket", F.posexplode("rows").alias("at", "row"))
+    spread.select("shard", "bucket", "at", "row.record").write.partitionBy("shard").parquet(f"{path}/rows")
 
-    # the first slot of each bucket: rows of the earlier buckets of its shard
-    ids = docs.select("doc_id").select(
-        shard_of(F.col("doc_id"), shards, seed).alias("shard"),
-        F.xxhash64("doc_id", F.monotonically_increasing_id(), F.lit(seed + 1)).alias("h"),
-    )
-    counted = ids.groupBy("shard", F.pmod("h", number).cast("int").alias("bucket")).count()
+    # the first slot of each bucket: the written rows of the earlier buckets of its shard
+    counted = _rows(spark, path, docs).groupBy("shard", "bucket").count()
     earlier = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    first = counted.select("shard", "bucket", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("first"))
-    out = spread.join(first, ["shard", "bucket"]).select("shard", (F.col("first") + F.col("at")).alias("slot"), "row.record")
-    out.write.partitionBy("shard").parquet(path)
+    counted.select("shard", "bucket", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("first")).write.parquet(f"{path}/index")
+
+
+def _rows(spark: SparkSession, path: str, docs: DataFrame) -> DataFrame:
+    record = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("at", T.IntegerType()), T.StructField("record", docs.schema), T.StructField("shard", T.IntegerType())])
+    return spark.read.schema(record).parquet(f"{path}/rows")
 
 
 def read_shards(spark: SparkSession, path: str, docs: DataFrame) -> DataFrame:
-    """The records of ``write_shards`` with their shard and slot."""
-    schema = f"slot long, record {docs.schema.simpleString()}, shard int"
-    return spark.read.schema(schema).parquet(path)
+    """shard, slot and record of what ``write_shards`` has written."""
+    index = spark.read.schema("shard int, bucket int, first long").parquet(f"{path}/index")
+    met = _rows(spark, path, docs).join(index, ["shard", "bucket"])
+    return met.select("shard", (F.col("first") + F.col("at")).alias("slot"), "record")
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
