@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chromaloom.llm import bloom
-from chromaloom.llm.common import id_and_text, stage, table
+from chromaloom.llm.common import id_and_text, stage, table, with_least
 
 #: ASCII white space, as one class for every engine.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -50,9 +50,8 @@ def duplicate_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
     )
     again = tested.filter("again").select("doc_id", "text_sha256")
-    groups = again.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    met = again.join(groups, "text_sha256").select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
+    met = with_least(again, "text_sha256", "doc_id").select(
+        "doc_id", F.col("_least").alias("keep_id"), F.col("_rows").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("_least")).alias("kept"), "text_sha256"
     )
     return alone.unionByName(met)
 
