@@ -13,6 +13,8 @@ names the tokens that end at a node.
 from __future__ import annotations
 
 import json
+import struct
+from array import array
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -27,7 +29,7 @@ from chromaloom.llm.common import id_and_text, schema_with, table
 #: The split of byte-level BPE before any merge; fixed by the tokenizer's format.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Documents whose words are gathered before a walk, and bounds of what a task remembers.
-DOCS, MAX_WORDS, MAX_PAIRS, LONG_WORD = 500, 200_000, 400_000, 64
+DOCS, MAX_WORDS, MAX_PAIRS, LONG_WORD = 250, 150_000, 400_000, 64
 
 
 def default_path() -> str:
@@ -52,85 +54,95 @@ class TrieBpe:
         byte = _byte_of_char()
         raw = lambda token: bytes(byte[c] for c in token)
         model = made["model"]
-        self.ids = {raw(t): i for t, i in model["vocab"].items()}
-        self.bytes_of = {i: t for t, i in self.ids.items()}
-        self.rank = {}
-        for i, m in enumerate(model["merges"]):
-            left, right = m if isinstance(m, list) else m.split(" ")
-            self.rank[raw(left), raw(right)] = i
+        ids = {raw(t): i for t, i in model["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in made.get("added_tokens") or []}
-        self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
+        self.bytes_of: list[bytes] = [b""] * (max([*ids.values(), *self.special.values()]) + 1)
+        for t, i in [*ids.items(), *((t.encode(), i) for t, i in self.special.items())]:
+            self.bytes_of[i] = t
+        self.byte_ids = [ids.get(bytes([b]), -1) for b in range(256)]
+        # pair of ids -> (rank, id of both together)
+        self.merges: dict[int, tuple[int, int]] = {}
+        for i, m in enumerate(model["merges"]):
+            left, right = map(raw, m if isinstance(m, list) else m.split(" "))
+            self.merges[ids[left] << 24 | ids[right]] = (i, ids[left + right])
+        self._automaton(ids)
         longest_first = sorted(self.special, key=len, reverse=True)
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if self.special else None
         self.split = regex.compile(SPLIT)
-        # words of this generation, and of the one before
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        # ids of the words of this generation, and of the one before
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.apart: dict[int, bool] = {}
-        self.goto: dict[int, int] = {}
 
-    def _merged(self, data: bytes) -> list[bytes]:
-        """Plain merging, lowest rank first, leftmost first; for pairs of tokens."""
-        parts = [data[i : i + 1] for i in range(len(data))]
+    def _stays_apart(self, key: int) -> bool:
+        """Whether plain merging, lowest rank first and leftmost first, of the
+        bytes of two tokens ends with just these two."""
+        left, right = key >> 24, key & 0xFFFFFF
+        parts = [self.byte_ids[b] for b in self.bytes_of[left] + self.bytes_of[right]]
+        merges, none = self.merges, (1 << 40, 0)
         while len(parts) > 1:
-            best = min((self.rank.get((a, b), 1 << 40), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if best[0] == 1 << 40:
+            (rank, both), at = min((merges.get(a << 24 | b, none), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+            if rank == none[0]:
                 break
-            pair, out, i = (parts[best[1]], parts[best[1] + 1]), [], 0
+            a, b = parts[at], parts[at + 1]
+            out, i = [], 0
             while i < len(parts):
-                if i + 1 < len(parts) and (parts[i], parts[i + 1]) == pair:
-                    out.append(pair[0] + pair[1])
+                if i + 1 < len(parts) and parts[i] == a and parts[i + 1] == b:
+                    out.append(both)
                     i += 2
                 else:
                     out.append(parts[i])
                     i += 1
             parts = out
-        return parts
-
-    def _stays_apart(self, key: int) -> bool:
-        a, b = self.bytes_of[key >> 24], self.bytes_of[key & 0xFFFFFF]
         if len(self.apart) >= MAX_PAIRS:
             self.apart.clear()
-        found = self.apart[key] = self._merged(a + b) == [a, b]
+        found = self.apart[key] = parts == [left, right]
         return found
 
-    def _automaton(self) -> None:
+    def _automaton(self, ids: dict[bytes, int]) -> None:
         """Suffix automaton of the vocabulary: a state is the longest suffix of
-        the bytes read that begins a token; ``ends`` has its tokens, longest
-        first."""
-        step: dict[int, int] = {}
-        parent, byte, token = [0], [0], [-1]
-        for t, i in self.ids.items():
+        the bytes read that begins a token. ``goto`` learns the steps that fall
+        back; ``ends`` has the tokens that end at a state, longest first, as far
+        as states were met."""
+        self.goto: dict[int, int] = {}
+        parent, byte, self.token = array("i", [0]), array("i", [0]), array("i", [-1])
+        for t, i in ids.items():
             at = 0
             for c in t:
                 key = at << 8 | c
-                if key not in step:
-                    step[key] = len(parent)
+                if key not in self.goto:
+                    self.goto[key] = len(parent)
                     parent.append(at)
                     byte.append(c)
-                    token.append(-1)
-                at = step[key]
-            token[at] = i
-        depth = [0] * len(parent)
+                    self.token.append(-1)
+                at = self.goto[key]
+            self.token[at] = i
+        self.depth = array("i", [0]) * len(parent)
         for n in range(1, len(parent)):
-            depth[n] = depth[parent[n]] + 1
-        self.step, self.fail, self.ends = step, [0] * len(parent), [()] * len(parent)
-        for n in sorted(range(1, len(parent)), key=depth.__getitem__):
-            if depth[n] > 1:
+            self.depth[n] = self.depth[parent[n]] + 1
+        self.fail = array("i", [0]) * len(parent)
+        for n in sorted(range(1, len(parent)), key=self.depth.__getitem__):
+            if self.depth[n] > 1:
                 self.fail[n] = self._follow(self.fail[parent[n]], byte[n])
-            own = ((token[n], depth[n]),) if token[n] >= 0 else ()
-            self.ends[n] = own + self.ends[self.fail[n]]
+        self.ends: dict[int, tuple[tuple[int, int], ...]] = {0: ()}
 
     def _follow(self, state: int, c: int) -> int:
-        while state and (state << 8 | c) not in self.step:
+        while state and (state << 8 | c) not in self.goto:
             state = self.fail[state]
-        return self.step.get(state << 8 | c, 0)
-
-    def _walk(self, words: list[bytes]) -> Iterator[tuple[int, ...]]:
-        """Encodings of sorted distinct words. By bytes read: last token, its
+        return self.goto.get(state << 8 | c, 0)
+
+    def _ends_at(self, state: int) -> tuple[tuple[int, int], ...]:
+        found, at = [], state
+        while at:
+            if self.token[at] >= 0:
+                found.append((self.token[at], self.depth[at]))
+            at = self.fail[at]
+        self.ends[state] = tuple(found)
+        return self.ends[state]
+
+    def _walk(self, words: list[bytes]) -> Iterator[bytes]:
+        """Ids of sorted distinct words. By bytes read: last token, its
         length, state of the automaton."""
-        if not self.goto:
-            self._automaton()
         goto, ends, apart = self.goto, self.ends, self.apart
         last, size, states = [-1], [0], [0]
         before = b""
@@ -149,7 +161,7 @@ class TrieBpe:
                 if state < 0:
                     state = goto[key] = self._follow(key >> 8, key & 255)
                 states.append(state)
-                for token, n in ends[state]:
+                for token, n in ends.get(state) or self._ends_at(state):
                     if n < d:
                         pair = last[d - n] << 24 | token
                         ok = apart.get(pair)
@@ -166,7 +178,7 @@ class TrieBpe:
                 d -= size[d]
             before = word
             out.reverse()
-            yield tuple(out)
+            yield struct.pack(f"<{len(out)}I", *out)
 
     def _learn(self, pieces: set[str]) -> list[str]:
         """Makes all pieces known; the long ones, which the caller is to forget.
@@ -176,7 +188,7 @@ class TrieBpe:
         missing = pieces.difference(self.known)
         kept = {p: self.older[p] for p in missing if p in self.older}
         self.known |= kept
-        self.known |= {p: (self.special[p],) for p in missing if p in self.special}
+        self.known |= {p: struct.pack("<I", self.special[p]) for p in missing if p in self.special}
         order = sorted((p.encode("utf-8", "surrogatepass"), p) for p in missing if p not in self.known)
         self.known.update(zip((p for _, p in order), self._walk([b for b, _ in order])))
         return [p for p in missing if len(p) > LONG_WORD]
@@ -187,16 +199,17 @@ class TrieBpe:
         parts = self.special_split.split(text)
         return [p for i, part in enumerate(parts) for p in ([part] if i % 2 else self.split.findall(part))]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, as little-endian unsigned 32-bit integers."""
         pieces = [self._parts(t) for t in texts]
         long = self._learn(set(chain.from_iterable(pieces)))
-        found = [np.array(list(chain.from_iterable(map(self.known.__getitem__, p))), "<u4") for p in pieces]
+        found = [b"".join(map(self.known.__getitem__, p)) for p in pieces]
         for p in long:
             del self.known[p]
         return found
 
-    def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
+    def decode(self, ids: bytes) -> str:
+        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
 _LOADED: dict[int, TrieBpe] = {}
@@ -217,14 +230,23 @@ def _broadcast(spark: SparkSession, path: str | None) -> object:
         return spark.sparkContext.broadcast(f.read())
 
 
-def _encoder(spec: object) -> Callable:
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, DOCS):
+            yield batch.slice(at, DOCS)
+
+
+def _encoder(spec: object, back: bool) -> Callable:
+    """Ids of the texts; with ``back``, also what they decode to."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(spec)
-        for batch in batches:
-            for at in range(0, batch.num_rows, DOCS):
-                ids, texts = batch.column(0).slice(at, DOCS), batch.column(1).slice(at, DOCS).to_pylist()
-                found = [x.tobytes() for x in bpe.encode(texts)]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(found, pa.binary())], names=["doc_id", "ids"])
+        for part in _slices(batches):
+            found = bpe.encode(part.column(1).to_pylist())
+            columns = [part.column(0), pa.array(found, pa.binary())]
+            if back:
+                columns.append(pa.array(list(map(bpe.decode, found)), pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"][: len(columns)])
 
     return run
 
@@ -232,11 +254,9 @@ def _encoder(spec: object) -> Callable:
 def _decoder(spec: object) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(spec)
-        for batch in batches:
-            for at in range(0, batch.num_rows, DOCS):
-                part = batch.slice(at, DOCS)
-                texts = [bpe.decode(np.frombuffer(x.as_buffer(), "<u4")) if x.is_valid else "" for x in part.column("ids")]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
+        for part in _slices(batches):
+            texts = [bpe.decode(x or b"") for x in part.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
 
     return run
 
@@ -249,7 +269,7 @@ def encode(spark: SparkSession, docs: DataFrame, path: str | None = None) -> Dat
     return as often; an empty table gives an empty result; further columns are
     not read. ``path`` is a byte-level BPE file in the tokenizers' JSON format.
     """
-    return id_and_text(docs).mapInArrow(_encoder(_broadcast(spark, path)), schema_with(docs.select("doc_id"), "ids binary"))
+    return id_and_text(docs).mapInArrow(_encoder(_broadcast(spark, path), False), schema_with(docs.select("doc_id"), "ids binary"))
 
 
 def decode(spark: SparkSession, tokens: DataFrame, path: str | None = None) -> DataFrame:
@@ -258,8 +278,13 @@ def decode(spark: SparkSession, tokens: DataFrame, path: str | None = None) -> D
     return read.mapInArrow(_decoder(_broadcast(spark, path)), schema_with(read, "decoded string"))
 
 
+def round_trip(spark: SparkSession, docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, ids and decoded: ``encode`` and ``decode`` in one worker."""
+    return id_and_text(docs).mapInArrow(_encoder(_broadcast(spark, path), True), schema_with(docs.select("doc_id"), "ids binary", "decoded string"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_digests(decode(spark, encode(spark, table(spark, sf_dir, "documents"))))
+    return token_digests(round_trip(spark, table(spark, sf_dir, "documents")))
 
 
 def token_digests(tokens: DataFrame, *more: str) -> DataFrame:

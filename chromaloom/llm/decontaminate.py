@@ -166,7 +166,8 @@ def find_leaks(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFr
     items = items.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     windows = _candidates(spark, read, items)
     keys = windows.select("key").distinct()
-    maybe = read.withColumn("_key", F.xxhash64("text")).filter(_screened(spark, read, keys))
+    # written, so that no task needs two Python workers
+    maybe = stage(spark, read.withColumn("_key", F.xxhash64("text")).filter(_screened(spark, read, keys)), "suspects")
     met = maybe.join(windows, F.col("_key") == F.col("key")).join(items.withColumnRenamed("text", "item"), "item_id")
     met = met.select(F.struct("doc_id", "_key").alias("_row"), "item_id", "item", "text", "diagonal")
     schema = schema_with(met.select("_row", "item_id"), "score double", "matched double", "first_word int", "end_word int")

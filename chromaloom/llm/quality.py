@@ -13,7 +13,7 @@ threshold come from a bounded sample of labelled rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +30,8 @@ SAMPLE_DOCS = 20_000
 ORDERS, BUCKETS, PRIOR = (4, 8), 1 << 17, 0.1
 #: Noise of the draw, and what rejecting a good document costs against keeping a bad one.
 TEMPERATURE, GOOD_COST, SEED = 0.002, 4.0, 77
+#: Texts that are hashed at once.
+ROWS = 100
 
 
 def _hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,8 +60,18 @@ def _string(texts: pa.Array) -> pa.Array:
     return texts if texts.type == pa.string() else texts.cast(pa.string())
 
 
+def _parts(texts: pa.Array) -> Iterator[pa.Array]:
+    for at in range(0, len(texts), ROWS):
+        yield _string(texts.slice(at, ROWS))
+
+
 def _add(batch: pa.RecordBatch, total: np.ndarray) -> None:
-    h, lo, hi = _hashes(_string(batch.column(0)))
+    for part in _parts(batch.column(0)):
+        _add_part(part, total)
+
+
+def _add_part(texts: pa.Array, total: np.ndarray) -> None:
+    h, lo, hi = _hashes(texts)
     for i, order in enumerate(ORDERS):
         # n-grams that reach into the next text don't count
         inside = np.zeros(h.shape[1] + 1, np.int64)
@@ -70,7 +82,12 @@ def _add(batch: pa.RecordBatch, total: np.ndarray) -> None:
 
 def weights(log_ratio: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(sum of the log ratios, number of n-grams) of each text."""
-    h, lo, hi = _hashes(_string(texts))
+    found = [_weights_part(log_ratio, part) for part in _parts(texts)]
+    return tuple(np.concatenate(c) if c else np.zeros(0) for c in ([f[i] for f in found] for i in (0, 1)))
+
+
+def _weights_part(log_ratio: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    h, lo, hi = _hashes(texts)
     total, number = np.zeros(len(lo)), np.zeros(len(lo), np.int64)
     for i, order in enumerate(ORDERS):
         sums = np.concatenate([[0.0], np.cumsum(log_ratio[h[i]], dtype=np.float64)])
