@@ -38,7 +38,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.token_digests(bpe.decode(spark, bpe.encode(spark, docs)), "ids")
+    return bpe.token_digests(bpe.round_trip(spark, docs), "ids")
 
 
 STAGES = [
