@@ -4,7 +4,7 @@ Two shingle sets with 100*|A & B| >= t*|A | B| differ in at most
 D = (|A| + |B|)(100 - t)/(100 + t) shingles. A shingle flips one bit of a
 document's sketch, so the Hamming distance of two sketches is at most the size
 of the symmetric difference. Per size band there are two of them: a small one
-of about a bit a shingle, for Hamming distances, and one of K very wide pieces,
+of a few bits a shingle, for Hamming distances, and one of K very wide pieces,
 of each of which only the XOR of its bits' 64-bit hashes is kept. At most D
 pieces differ. A document of n shingles drops its s(n) lightest pieces, which
 say least, where s(a) + s(b) < K - D for all partners: one piece that neither
@@ -42,6 +42,8 @@ from chromaloom.llm.shingles import WordHashes, shingle_set
 #: Ratio of successive size bands; share of pieces that is dropped besides where
 #: a band has many; members that are compared at once.
 GROWTH, DROP, DROP_FROM, BLOCK = 1.3, 0.03, 16, 4000
+#: Bits of the small sketch for each shingle: with few, pairs beyond D look nearer.
+BITS = 3
 
 
 @lru_cache
@@ -61,7 +63,7 @@ def bands(percent: int) -> list[tuple[int, int, int]]:
         pieces = most + 1
         if most >= DROP_FROM:
             pieces = -(-2 * b * (100 - percent) // (100 + percent)) + 1 + 2 * round(DROP * most)
-        out.append((first, 0 if most == 0 else pieces, max(1, min(pieces, math.ceil(a / 64)))))
+        out.append((first, 0 if most == 0 else pieces, math.ceil(BITS * a / 64)))
         first = after
     return out
 
