@@ -222,7 +222,8 @@ def fit(spark: SparkSession, labelled: DataFrame, sample_docs: int = SAMPLE_DOCS
     number = rows.groupBy("lang").count()
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6
     share = number.select(F.col("lang").alias("_lang"), (sample_docs / F.col("count")).alias("share"))
-    sample = rows.join(share, (F.col("lang") == F.col("_lang")) & (drawn < F.col("share"))).select("lang", "text")
+    # one row a language; without the hint all texts would shuffle to meet it
+    sample = rows.join(F.broadcast(share), (F.col("lang") == F.col("_lang")) & (drawn < F.col("share"))).select("lang", "text")
     counts = sample.mapInArrow(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     return Model(counts.toPandas())
 
