@@ -1,11 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Word trigrams of the test items are looked up in every text through a bounded
-Bloom filter; what it lets through meets the items in an exact join. Hits of an
-item near one diagonal of a text count by their rarity in the corpus, or by the
-share of the item they cover, which finds passages that are themselves common.
-Each such window is aligned with the item word by word; edited and paraphrased
-copies keep a high score.
+Bloom filter; what it lets through meets the items in an exact join. One hit
+makes a candidate of the window around its diagonal, however common the hit is
+and however large the corpus. A window whose words bound the score below what
+counts is dropped; the others are aligned with the item word by word; edited
+and paraphrased copies keep a high score.
 """
 
 from __future__ import annotations
@@ -23,9 +23,8 @@ from chromaloom.llm import bloom
 from chromaloom.llm.common import id_and_text, schema_with, stage, table
 from chromaloom.llm.shingles import WordHashes, gram_hashes
 
-#: Words of a seed, width of a band of diagonals, share of an item's seeds that
-#: makes a candidate on its own, and share of the rarity of a unique seed.
-SEED_WORDS, BAND, COVER, RARE = 3, 32, 0.2, 0.9
+#: Words of a seed and width of a band of diagonals.
+SEED_WORDS, BAND = 3, 32
 #: Alignment scores, and the score from which a text holds the item: that of an
 #: exact copy of half of it, or of as many words as ENOUGH points make.
 MATCH, MISMATCH, GAP, ENOUGH = 2, -1, -1, 30
@@ -99,51 +98,56 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
     return best, end, matches
 
 
+def bound(shared: np.ndarray) -> int:
+    """No local score is higher, by the words of one side: of each, whether the
+    other side has it. The others cost a point at least."""
+    total = np.concatenate([[0], np.cumsum(np.where(shared, MATCH, max(MISMATCH, GAP)))])
+    return int((total - np.minimum.accumulate(total)).max())
+
+
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep, score, cover, lo, hi = [], [], [], [], []
+        keep, items, score, cover, lo, hi = [], [], [], [], [], []
+        known: dict = {}
         for row in range(batch.num_rows):
-            item, text, diagonal = (batch.column(c)[row].as_py() for c in ("item", "text", "diagonal"))
-            item, text = words(item), words(text)
-            slack = len(item) // 2 + BAND
-            first = max(0, diagonal - slack)
-            window = text[first : diagonal + BAND + len(item) + slack]
-            number = {w: i for i, w in enumerate(dict.fromkeys(item))}
-            ids = np.array([number.get(w, -1) for w in window], np.int64)
-            best, end, matches = align(np.array([number[w] for w in item], np.int64), ids)
-            if best >= min(MATCH * len(item) / 2, ENOUGH):
-                keep.append(row)
-                score.append(best / (MATCH * len(item)))
-                cover.append(matches / len(item))
-                lo.append(max(first, first + end - len(item) - slack))
-                hi.append(first + end)
-        kept = batch.select(["_row", "item_id"]).take(pa.array(keep, pa.int64()))
+            text = words(batch.column(1)[row].as_py())
+            for wanted in batch.column(2)[row].as_py():
+                if wanted["item"] not in known:
+                    item = words(wanted["item"])
+                    number = {w: i for i, w in enumerate(dict.fromkeys(item))}
+                    known[wanted["item"]] = number, np.array([number[w] for w in item], np.int64)
+                number, item = known[wanted["item"]]
+                slack = len(item) // 2 + BAND
+                first = max(0, wanted["diagonal"] - slack)
+                window = text[first : wanted["diagonal"] + BAND + len(item) + slack]
+                ids = np.array([number.get(w, -1) for w in window], np.int64)
+                enough = min(MATCH * len(item) / 2, ENOUGH)
+                if bound(ids >= 0) < enough or bound(np.isin(item, ids)) < enough:
+                    continue
+                best, end, matches = align(item, ids)
+                if best >= enough:
+                    keep.append(row)
+                    items.append(wanted["item_id"])
+                    score.append(best / (MATCH * len(item)))
+                    cover.append(matches / len(item))
+                    lo.append(max(first, first + end - len(item) - slack))
+                    hi.append(first + end)
+        kept = batch.column(0).take(pa.array(keep, pa.int64()))
+        item_type = batch.schema.field(2).type.value_type.field("item_id").type
         yield pa.RecordBatch.from_arrays(
-            [*kept.columns, pa.array(score, pa.float64()), pa.array(cover, pa.float64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())],
+            [kept, pa.array(items, item_type), pa.array(score, pa.float64()), pa.array(cover, pa.float64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())],
             names=["_row", "item_id", "score", "matched", "first_word", "end_word"],
         )
 
 
 def _candidates(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(key, item_id, diagonal) of the windows worth aligning; key hashes the text."""
+    """(key, item_id, diagonal) of the windows that hold a seed; key hashes the text."""
     seeds = stage(spark, items.mapInArrow(_item_seeds, schema_with(items.select("item_id"), "seed long", "item_at int")), "seeds")
     bits, filled = bloom.build(spark, seeds.select("seed"), seeds.count(), repeated=False)
     texts = docs.select(F.xxhash64("text").alias("key"), "text")
-    hits = stage(spark, texts.mapInArrow(_hits(bits, filled), "key long, seed long, at int"), "hits")
-    # texts, not documents: exact copies don't make a seed common
-    number = docs.count()
-    common = hits.select("seed", "key").distinct().groupBy("seed").agg(F.count("*").alias("texts"))
-    size = seeds.groupBy("item_id").agg(F.count_distinct("seed").alias("size"))
-    met = hits.join(seeds, "seed").withColumn("shift", F.col("at") - F.col("item_at"))
-    # each hit counts in two overlapping bands of diagonals
-    half = BAND // 2
-    met = met.withColumn("band", F.explode(F.array(F.floor(F.col("shift") / BAND) * BAND, F.floor((F.col("shift") + half) / BAND) * BAND - half)))
-    one = met.groupBy("key", "item_id", "band", "seed").agg(F.lit(1).alias("one"))
-    rarity = F.log((number + 1) / F.col("texts"))
-    bands = one.join(common, "seed").groupBy("key", "item_id", "band").agg(F.count("*").alias("n"), F.sum(rarity).alias("rarity"))
-    unique = RARE * float(np.log(number + 1))
-    sure = bands.join(size, "item_id").filter((F.col("n") >= COVER * F.col("size")) | (F.col("rarity") >= unique))
-    return stage(spark, sure.select("key", "item_id", F.col("band").cast("int").alias("diagonal")), "windows")
+    hits = texts.mapInArrow(_hits(bits, filled), "key long, seed long, at int")
+    met = hits.join(seeds, "seed").select("key", "item_id", (F.floor((F.col("at") - F.col("item_at")) / BAND) * BAND).cast("int").alias("diagonal"))
+    return stage(spark, met.distinct(), "windows")
 
 
 def _screened(spark: SparkSession, docs: DataFrame, keys: DataFrame) -> Column:
@@ -158,8 +162,8 @@ def find_leaks(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFr
 
     One row for each document and item: of several passages the best, the first
     of equals. Null texts and items, and those of fewer than three words, have
-    no seeds and no rows; a null doc_id stays null; repeated rows give their
-    rows once; an empty table on either side gives an empty result; further
+    no seeds and no rows, nor has a passage without three words of the item in
+    a row; a null doc_id stays null; repeated rows give their rows once; an empty table on either side gives an empty result; further
     columns are not read.
     """
     read = id_and_text(docs)
@@ -168,9 +172,12 @@ def find_leaks(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFr
     keys = windows.select("key").distinct()
     # written, so that no task needs two Python workers
     maybe = stage(spark, read.withColumn("_key", F.xxhash64("text")).filter(_screened(spark, read, keys)), "suspects")
-    met = maybe.join(windows, F.col("_key") == F.col("key")).join(items.withColumnRenamed("text", "item"), "item_id")
-    met = met.select(F.struct("doc_id", "_key").alias("_row"), "item_id", "item", "text", "diagonal")
-    schema = schema_with(met.select("_row", "item_id"), "score double", "matched double", "first_word int", "end_word int")
+    # a text travels once, with all its windows
+    wanted = windows.join(items.withColumnRenamed("text", "item"), "item_id")
+    wanted = wanted.groupBy("key").agg(F.collect_list(F.struct("item_id", "item", "diagonal")).alias("wanted"))
+    met = maybe.join(wanted, F.col("_key") == F.col("key")).select(F.struct("doc_id", "_key").alias("_row"), "text", "wanted")
+    schema = schema_with(met.select("_row", "wanted.item_id"), "score double", "matched double", "first_word int", "end_word int")
+    schema["item_id"].dataType = schema["item_id"].dataType.elementType
     best = F.struct("score", "matched", (-F.col("first_word")).alias("f"), "end_word")
     found = met.mapInArrow(_aligned, schema).groupBy("_row", "item_id").agg(F.max(best).alias("b"))
     return found.select("_row.doc_id", "item_id", "b.score", "b.matched", (-F.col("b.f")).alias("first_word"), "b.end_word", F.col("_row._key").alias("text_key"))

@@ -130,6 +130,34 @@ def test_common_passages_are_found(spark, documents):
     assert got == {i for i in range(240) if i % 3 == 0}
 
 
+def test_leaks_do_not_depend_on_corpus_size(spark, documents):
+    """Edited passages that a third of the texts share are found, whatever their
+    share of the item's trigrams and the number of other texts."""
+    rng = random.Random(5)
+    item = [f"item{i}" for i in range(59)]
+    # four runs of three intact words, then runs of two: four of 57 trigrams
+    edited = [f"other{i}" if (i < 16 and i % 4 == 3) or (i >= 16 and i % 3 == 0) else w for i, w in enumerate(item)]
+    # runs of two alone: no seed
+    paired = [f"other{i}" if i % 3 == 2 else w for i, w in enumerate(item)]
+    rows = [(i, " ".join(passage(rng, 60) + (edited if i % 3 == 0 else item[:5] if i % 3 == 1 else []))) for i in range(240)] + [(1000, " ".join(paired))]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    want = {i for i, t in rows if decontaminate.brute_force(t, " ".join(item))}
+    assert want == {i for i in range(240) if i % 3 == 0} | {1000}
+    more = [(2000 + i, " ".join(passage(rng, 20))) for i in range(2000)]
+    for docs in (rows, rows + more):
+        got = {r.doc_id for r in decontaminate.find_leaks(spark, documents(docs), bench).collect()}
+        # what no trigram points at is out of reach
+        assert got == want - {1000}
+
+
+def test_windows_are_not_bounded_too_low():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        a, b = rng.integers(0, 12, rng.integers(1, 20)), rng.integers(0, 30, rng.integers(0, 30))
+        best = decontaminate.align(a, b)[0]
+        assert best <= decontaminate.bound(np.isin(a, b)) and best <= decontaminate.bound(np.isin(b, a))
+
+
 def test_no_leaks_in_nothing(spark, documents):
     bench = spark.createDataFrame([(1, "one two three four five")], "item_id long, text string")
     assert decontaminate.find_leaks(spark, documents([]), bench).count() == 0
