@@ -107,14 +107,22 @@ _STEPS = [
 ]
 
 
+# An SPDX tag ends with its line, whatever follows.
+_TAG_LINE = (r"(spdx-license-identifier:[^\n]*)\n", "$1.\n")
+# Where a pattern ends with $, a sentence may go on after the last word: line
+# ends are spaces. OP4_SQL has the patterns as they are above.
+_END = r"(?![a-z0-9+-]|\.[a-z0-9])"
+_PATTERNS = [(name, pattern[:-1] + _END if pattern.endswith("$") else pattern) for name, pattern in SENTENCES]
+
+
 def _sentences(text: Column) -> Column:
-    split = reduce(lambda t, step: F.regexp_replace(t, *step), _STEPS, F.lower(text))
+    split = reduce(lambda t, step: F.regexp_replace(t, *step), [_TAG_LINE, *_STEPS], F.lower(text))
     return F.filter(F.split(split, _MARK), lambda s: s != "")
 
 
 def _identified(sentence: Column) -> Column:
     out = F.lit(None).cast("string")
-    for name, pattern in reversed(SENTENCES):
+    for name, pattern in reversed(_PATTERNS):
         out = F.when(sentence.rlike(pattern), F.lit(name)).otherwise(out)
     return out
 

@@ -156,6 +156,21 @@ def test_licences(spark, documents):
     assert licenses.scan_licenses(documents([])).count() == 0
 
 
+def test_licences_before_further_text(spark, documents):
+    """A sentence goes on over line ends; what it names ends before that."""
+    rows = [
+        (1, "// SPDX-License-Identifier: MIT\n#include <x.h>\nint x;", "MIT", "<SPDX_MIT>"),
+        (2, "# SPDX-License-Identifier: Apache-2.0\n# Copyright 2020 X", "Apache-2.0", "<SPDX_APACHE2><COPYRIGHT>"),
+        (3, "/* SPDX-License-Identifier: GPL-2.0-only */\r\n#include <x.h>", "GPL-2.0", "<SPDX_GPL2>"),
+        (4, "This project is licensed under the MIT License - see the LICENSE file for details.", "MIT", "<MIT_NAME>"),
+        (5, "Licensed under the Apache License, Version 2.0 (the \"License\")\nsee NOTICE", "Apache-2.0", "<APACHE2_NAME>"),
+        (6, "SPDX-License-Identifier: MIT-0\nx", "", ""), (7, "SPDX-License-Identifier: MPL-2.0-no-copyleft-exception\nx", "", ""),
+        (8, "SPDX-License-Identifier: MIT.\nMore", "MIT", "<SPDX_MIT>"),
+    ]
+    got = licenses.scan_licenses(documents([r[:2] for r in rows])).collect()
+    assert {r.doc_id: (r.licenses, r.sentences) for r in got} == {i: (n, s) for i, _, n, s in rows}
+
+
 def test_op4_sql(spark, sf_dir, duck):
     from compare import assert_same
 
