@@ -90,7 +90,7 @@ RULES = [
     ("other", "<LICENSE_OTHER>"),
     ("all-rights-reserved", "<RESERVED>"),
 ]
-#: Any text that holds a known sentence holds one of these.
+#: The screen of OP4_SQL, over the raw text; see _SCREEN.
 CUES = "(?i)licen[sc]e|copyright|spdx|permission|redistribut|provided as is|provided by|creative commons|cc by|cc0|public domain|rights reserved"
 
 # Spark and the SQL engine of the tests split and normalise by the same steps:
@@ -113,6 +113,9 @@ _TAG_LINE = (r"(spdx-license-identifier:[^\n]*)\n", "$1.\n")
 # ends are spaces. OP4_SQL has the patterns as they are above.
 _END = r"(?![a-z0-9+-]|\.[a-z0-9])"
 _PATTERNS = [(name, pattern[:-1] + _END if pattern.endswith("$") else pattern) for name, pattern in SENTENCES]
+# Any text that holds a known sentence holds one of these once its quotes are
+# removed; what _STEPS makes a space may part the words.
+_SCREEN = CUES.replace(" ", r"[*#/|\x20\x09-\x0D]+") + "|endorse"
 
 
 def _sentences(text: Column) -> Column:
@@ -136,7 +139,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     empty table gives an empty result; further columns are not read.
     """
     read = id_and_text(docs)
-    cued = F.col("text").rlike(CUES)
+    cued = F.regexp_replace("text", *_STEPS[0]).rlike(_SCREEN)
     named = F.filter(F.transform(_sentences(F.col("text")), _identified), lambda s: s.isNotNull())
     ids = read.select("doc_id", F.when(cued, named).otherwise(F.array().cast("array<string>")).alias("ids"))
     out = ids.select("doc_id", F.concat_ws("", F.transform("ids", lambda s: F.concat(F.lit("<"), s, F.lit(">")))).alias("sentences"), F.size("ids").cast("long").alias("n_sentences"))

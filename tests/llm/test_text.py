@@ -171,6 +171,20 @@ def test_licences_before_further_text(spark, documents):
     assert {r.doc_id: (r.licenses, r.sentences) for r in got} == {i: (n, s) for i, _, n, s in rows}
 
 
+def test_licence_screen_loses_nothing(spark, documents, sf_dir, monkeypatch):
+    rows = [
+        (1, "All rights\nreserved.", "all-rights-reserved"), (2, "# This is free and unencumbered software released into the public\n# domain.", "Unlicense"),
+        (3, "Creative\nCommons Attribution 4.0", "CC-BY-4.0"), (4, "'CC'\n// BY-SA 4.0", "CC-BY-SA-4.0"), (5, "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND", ""),
+        (6, "The name of X may be used to endorse or promote products derived from this software.", ""), (7, "No word of it.", ""),
+    ]
+    got = {r.doc_id: r for r in licenses.scan_licenses(documents([r[:2] for r in rows])).collect()}
+    assert {i: r.licenses for i, r in got.items()} == {i: n for i, _, n in rows}
+    assert (got[5].sentences, got[6].sentences, got[7].sentences) == ("<ASIS_MIT>", "<BSD_ENDORSE>", "")
+    screened = sorted(map(str, licenses.op4_licenses(spark, sf_dir).collect()))
+    monkeypatch.setattr(licenses, "_SCREEN", "")
+    assert screened == sorted(map(str, licenses.op4_licenses(spark, sf_dir).collect()))
+
+
 def test_op4_sql(spark, sf_dir, duck):
     from compare import assert_same
 
