@@ -246,6 +246,22 @@ def _(spark, d):
     return quality.coverage(sampling.coverage_sample(vis, 200), _means(histogram.exact(vis))).select("crop_id", _r("coverage", "coverage"))
 
 
+# The two above measure 200 pixels of a crop; these as many as the operator does.
+_CS_4096 = """cs as (select * from (select *, row_number() over (partition by crop_id order by idx) - 1 as pos, count(*) over (partition by crop_id) as total from vis)
+  where total <= 4096 or list_contains(list_transform(range(4096), lambda i: i * (total - 1) // 4095), pos))"""
+
+
+@query("coverage_sample_4096", sql.with_(sql.SCENE, sql.VIS, _CS_4096) + "select crop_id, idx from cs")
+def _(spark, d):
+    return sampling.coverage_sample(_vis(spark, d)).select("crop_id", "idx")
+
+
+@query("palette_coverage_4096", sql.with_(sql.BASE, sql.Q12, sql.MEANS, _CS_4096, _COVER) + f"select crop_id, {r6('100 * sum(d * c) / sum(c)')} as coverage from near group by crop_id")
+def _(spark, d):
+    vis = _vis(spark, d)
+    return quality.coverage(sampling.coverage_sample(vis), _means(histogram.exact(vis))).select("crop_id", _r("coverage", "coverage"))
+
+
 @query(
     "assignment_error",
     sql.with_(sql.BASE, sql.Q12, sql.MEANS, f"hl as (select *, {sql.lab()} from hist), pl as (select crop_id, {sql.lab('r', 'g', 'b', 'p')} from meanpal), near as (select h.crop_id, h.rgb24, any_value(h.mass) as mass, min({sql.dist('h.o', 'p.p')}) as d from hl h join pl p using (crop_id) group by h.crop_id, h.rgb24)")

@@ -202,3 +202,19 @@ def test_rounding_and_parsing(spark):
     assert [r.c for r in got] == [2, 4, 0, 255] and [r.p for r in got] == [0x0A0B0C, None, None, 0xFFFFFF]
     with pytest.raises(ValueError):
         clustering.cluster(df, "none")
+
+
+def test_coverage_takes_whole_crops(spark, sf_dir):
+    from chromaloom.plans import registry
+
+    every = {(r.crop_id, r.idx) for r in scene.visible(scene.scene(spark, sf_dir)).select("crop_id", "idx").collect()}
+    got = [(r.crop_id, r.idx) for r in registry.QUERIES["coverage_sample_4096"](spark, sf_dir).collect()]
+    assert len(got) == len(every) and set(got) == every
+
+
+def test_coverage_sample_of_larger_crops(spark):
+    sizes = {1: 1, 2: 16, 3: 17, 4: 50, 5: 333}
+    px = spark.createDataFrame([(c, 10 * i) for c, n in sizes.items() for i in range(n)], "crop_id int, idx int")
+    got = {(r.crop_id, r.idx) for r in sampling.coverage_sample(px, 16).collect()}
+    places = {c: range(n) if n <= 16 else [i * (n - 1) // 15 for i in range(16)] for c, n in sizes.items()}
+    assert got == {(c, 10 * p) for c, at in places.items() for p in at}
