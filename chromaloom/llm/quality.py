@@ -1,14 +1,17 @@
 """Quality classification by importance resampling.
 
 Two generative models of hashed byte n-grams, of the target text and of the raw
-text, give each document its log importance weight, here per n-gram, so that
-long texts count no more than short ones. A Gumbel top-k draws documents without
-replacement with probabilities in proportion to exp(weight / TEMPERATURE). The
-number to draw is that of the documents on the good side of a threshold, which
-held-out labelled documents give.
+text, give each document its log importance weight: the sum of its n-grams' log
+ratios, divided by the number of n-grams that hold a byte, so that each byte
+counts once. A Gumbel top-k draws k documents without replacement, each time in
+proportion to exp(weight); k is a parameter. Where it isn't given, it is the
+number of documents above the threshold that costs least on held-out labels.
+
+``classify`` is an operator of its own: it draws nothing and compares the mean
+log ratio of an n-gram with a threshold.
 
 The raw model counts every n-gram of all documents. The target model and the
-threshold come from a bounded sample of labelled rows.
+thresholds come from a bounded sample of labelled rows.
 """
 
 from __future__ import annotations
@@ -24,12 +27,14 @@ from pyspark.sql import functions as F
 from chromaloom.llm.common import id_and_text, stage, table
 from chromaloom.llm.vectors import vector_sum
 
-#: Labelled documents used at most (about): half for the target model, half for the threshold.
+#: Labelled documents used at most (about): half for the target model, half for the thresholds.
 SAMPLE_DOCS = 20_000
-#: n-gram lengths in bytes, hash buckets, and pseudo-counts of the target model.
-ORDERS, BUCKETS, PRIOR = (4, 8), 1 << 17, 0.1
-#: Noise of the draw, and what rejecting a good document costs against keeping a bad one.
-TEMPERATURE, GOOD_COST, SEED = 0.002, 4.0, 77
+#: n-gram lengths in bytes, hash buckets, and the raw model's share in the target model.
+ORDERS, BUCKETS, MIXED = (4, 8), 1 << 17, 0.3
+#: The same for ``classify``, as pseudo-counts a bucket.
+PRIOR = 0.1
+#: What rejecting a good document costs against keeping a bad one.
+GOOD_COST, SEED = 4.0, 77
 #: Texts that are hashed at once.
 ROWS = 100
 
@@ -99,16 +104,22 @@ def _weights_part(log_ratio: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, n
 
 @dataclass
 class Model:
+    """Log ratios by bucket and the threshold, of the draw and of ``classify``."""
+
     log_ratio: np.ndarray
     threshold: float
+    mean_ratio: np.ndarray
+    mean_threshold: float
 
 
 def _scored(held: object) -> Callable[[Column], Column]:
-    @F.arrow_udf("double")
+    @F.arrow_udf("struct<total:double,mean:double>")
     def score(texts: pa.Array) -> pa.Array:
-        total, number = weights(held.value.log_ratio, texts)
-        # one rounding, so that a text has one weight whatever shares its batch
-        return pa.array(np.round(total / np.maximum(1, number), 9))
+        # rounded, so that a text has one weight whatever shares its batch
+        total, _ = weights(held.value.log_ratio, texts)
+        mean, number = weights(held.value.mean_ratio, texts)
+        columns = [np.round(total / sum(ORDERS), 6), np.round(mean / np.maximum(1, number), 9)]
+        return pa.StructArray.from_arrays([pa.array(c) for c in columns], names=["total", "mean"])
 
     return score
 
@@ -132,14 +143,17 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample_docs: in
     good = (F.col("quality") == 1) & (F.col("toxic") == 0)
     target = vector_sum(sample.filter(good & (F.col("half") == 0)).select("text"), _add, BUCKETS).astype(np.float64)
     if not target.sum():
-        return Model(np.zeros(BUCKETS, np.float32), 0.0)
+        return Model(np.zeros(BUCKETS, np.float32), 0.0, np.zeros(BUCKETS, np.float32), 0.0)
     p_raw = (raw + 1) / (raw.sum() + BUCKETS)
-    p_target = (target + p_raw * BUCKETS * PRIOR) / (target.sum() + BUCKETS * PRIOR)
-    model = Model(np.log(p_target / p_raw).astype(np.float32), 0.0)
+    mixed = (1 - MIXED) * target / target.sum() + MIXED * p_raw
+    smoothed = (target + p_raw * BUCKETS * PRIOR) / (target.sum() + BUCKETS * PRIOR)
+    model = Model(np.log(mixed / p_raw).astype(np.float32), 0.0, np.log(smoothed / p_raw).astype(np.float32), 0.0)
 
     held = spark.sparkContext.broadcast(model)
-    known = sample.filter("half = 1").select(_scored(held)(F.col("text")).alias("w"), (F.col("quality") == 1).alias("good")).toPandas()
-    model.threshold = _threshold(known["w"].to_numpy(), known["good"].to_numpy(bool))
+    known = sample.filter("half = 1").select(_scored(held)(F.col("text")).alias("w"), (F.col("quality") == 1).alias("good")).select("w.*", "good").toPandas()
+    good = known["good"].to_numpy(bool)
+    model.threshold = _threshold(known["total"].to_numpy(), good)
+    model.mean_threshold = _threshold(known["mean"].to_numpy(), good)
     return model
 
 
@@ -158,7 +172,7 @@ def _threshold(w: np.ndarray, good: np.ndarray) -> float:
     return float((w[at - 1] + w[at]) / 2)
 
 
-def gumbel(doc_id: Column, text: Column, seed: int = SEED) -> Column:
+def gumbel(doc_id: Column, text: Column, seed: int | Column = SEED) -> Column:
     """Standard Gumbel noise from a hash of id and text, the same in every run."""
     u = (F.pmod(F.xxhash64(doc_id, text, F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     return -F.log(-F.log(u))
@@ -187,40 +201,48 @@ def kth_largest(rows: DataFrame, column: str, k: int, fit_in: int = 10_000) -> f
 
 
 def _with_keys(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with _weight and _key."""
+    """``docs`` with _weight, _mean and _key."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    weighed = docs.select(*docs.columns, _scored(spark.sparkContext.broadcast(model))(text).alias("_weight"))
-    return weighed.withColumn("_key", F.col("_weight") / TEMPERATURE + gumbel(F.col("doc_id"), text))
+    weighed = docs.select(*docs.columns, _scored(spark.sparkContext.broadcast(model))(text).alias("_scored"))
+    weighed = weighed.select(*docs.columns, F.col("_scored.total").alias("_weight"), F.col("_scored.mean").alias("_mean"))
+    return weighed.withColumn("_key", F.col("_weight") + gumbel(F.col("doc_id"), text))
 
 
-def _drawn(spark: SparkSession, docs: DataFrame, model: Model) -> tuple[DataFrame, float]:
-    """(doc_id, weight and gumbel_key of every row; the least key that is drawn)."""
+def _drawn(spark: SparkSession, docs: DataFrame, model: Model, k: int | None) -> tuple[DataFrame, float]:
+    """(doc_id, weight, gumbel_key and score of every row; the least key that is drawn)."""
     keyed = _with_keys(spark, id_and_text(docs), model)
-    scored = stage(spark, keyed.select("doc_id", F.col("_weight").alias("weight"), F.col("_key").alias("gumbel_key")), "scored")
-    k = scored.filter(F.col("weight") >= model.threshold).count()
+    scored = stage(spark, keyed.select("doc_id", F.col("_weight").alias("weight"), F.col("_key").alias("gumbel_key"), F.col("_mean").alias("score")), "scored")
+    if k is None:
+        k = scored.filter(F.col("weight") >= model.threshold).count()
     return scored, kth_largest(scored, "gumbel_key", k)
 
 
-def importance(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, weight (log ratio per n-gram), gumbel_key and selected.
+def importance(spark: SparkSession, docs: DataFrame, model: Model, k: int | None = None) -> DataFrame:
+    """doc_id, weight (log importance), gumbel_key, selected, score (log ratio of
+    an n-gram, on average) and accepted (the score reaches its threshold).
 
-    Selected are the k rows with the largest keys, k being the number of rows
-    whose weight reaches the model's threshold; rows with the k-th key itself
-    are all selected. Null, empty and very short texts have weight 0. A null
-    doc_id stays null; repeated rows have the same key; an empty table gives an
-    empty result; further columns are not read.
+    Selected are the k rows with the largest keys, by default as many as reach
+    the model's threshold; rows with the k-th key itself are all selected. Null,
+    empty and very short texts have weight 0. A null doc_id stays null; repeated
+    rows have the same key; an empty table gives an empty result; further columns
+    are not read.
     """
-    scored, least = _drawn(spark, docs, model)
-    return scored.withColumn("selected", F.col("gumbel_key") >= least)
+    scored, least = _drawn(spark, docs, model, k)
+    return scored.withColumn("selected", F.col("gumbel_key") >= least).withColumn("accepted", F.col("score") >= model.mean_threshold)
 
 
-def selected(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
+def selected(spark: SparkSession, docs: DataFrame, model: Model, k: int | None = None) -> DataFrame:
     """The rows of ``docs`` that the draw selects, with all their columns; they
     are weighed once more rather than shuffled."""
-    _, least = _drawn(spark, docs, model)
+    _, least = _drawn(spark, docs, model, k)
     return _with_keys(spark, docs, model).filter(F.col("_key") >= least).select(*docs.columns)
 
 
+def classify(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` whose score reaches the threshold; no draw."""
+    return _with_keys(spark, docs, model).filter(F.col("_mean") >= model.mean_threshold).select(*docs.columns)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return importance(spark, docs, fit(spark, docs, table(spark, sf_dir, "labels")))

@@ -48,11 +48,76 @@ def test_quality_rejects_junk(spark, documents):
     known = got[got.doc_id < 400]
     good = known.doc_id % 4 > 0
     assert known[good].selected.mean() > 0.99 and known[~good].selected.mean() < 0.02
+    assert known[good].accepted.mean() > 0.99 and known[~good].accepted.mean() < 0.02
     assert len(got) == len(rows)
     k = int((got.weight >= model.threshold).sum())
     assert got.selected.sum() >= k and (got[got.selected].gumbel_key.min() > got[~got.selected].gumbel_key.max())
     kept = quality.selected(spark, docs, model)
     assert kept.columns == docs.columns and kept.count() == got.selected.sum()
+    assert quality.classify(spark, docs, model).count() == got.accepted.sum()
+    few = quality.importance(spark, docs, model, k=10).toPandas()
+    assert few.selected.sum() == 10 and quality.selected(spark, docs, model, k=10).count() == 10
+
+
+def slow_ratio(texts, target, share):
+    """Log ratio of every n-gram, gram by gram."""
+
+    def counts(of):
+        out = {}
+        for t in of:
+            for g in slow_grams(t):
+                out[g] = out.get(g, 0) + 1
+        return out
+
+    raw, tgt = counts(texts), counts(target)
+    n, m = sum(raw.values()), sum(tgt.values())
+    p = lambda g: (raw.get(g, 0) + 1) / (n + quality.BUCKETS)
+    return lambda g: np.log(((1 - share) * tgt.get(g, 0) / m + share * p(g)) / p(g))
+
+
+def slow_grams(text):
+    """Buckets of the byte n-grams."""
+    raw = text.encode()
+    for order in quality.ORDERS:
+        for i in range(len(raw) - order + 1):
+            h = (int.from_bytes(raw[i : i + order], "little") + order) * 0x9E3779B97F4A7C15 % 2**64
+            h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 % 2**64
+            yield h >> 64 - 17
+
+
+def test_weights_match_brute_force(spark, documents):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["bread", "wine", "zq#", "éé", "a"]) for _ in range(rng.randrange(0, 12)))) for i in range(60)] + [(60, "wine " * 20_000)]
+    docs = documents(rows)
+    model = quality.fit(spark, docs, labels(spark, [(i, 1, 0) for i in range(60)]))
+    half = {r.doc_id for r in docs.selectExpr("doc_id", f"pmod(xxhash64(doc_id, {quality.SEED + 1}), 2) as half").filter("half = 0 and doc_id < 60").collect()}
+    ratio = slow_ratio([t for _, t in rows], [t for i, t in rows if i in half], quality.MIXED)
+    got = {r.doc_id: r.weight for r in quality.importance(spark, docs, model).collect()}
+    for i, t in rows[:60]:
+        assert got[i] == pytest.approx(sum(map(ratio, slow_grams(t))) / sum(quality.ORDERS), abs=1e-4)
+
+
+def test_draws_are_in_proportion_to_the_weights(spark):
+    """Shares of many draws of 2 of 5 against the exact chances of drawing
+    without replacement in proportion to exp(weight)."""
+    from itertools import permutations
+
+    from pyspark.sql import functions as F
+    from pyspark.sql.window import Window
+
+    w, k, trials = [0.0, 0.5, 1.0, 2.0, -1.0], 2, 20_000
+    want = np.zeros(5)
+    for first in permutations(range(5), k):
+        chance, left = 1.0, sum(np.exp(w))
+        for i in first:
+            chance *= np.exp(w[i]) / left
+            left -= np.exp(w[i])
+        want[list(first)] += chance
+    rows = spark.range(trials).withColumnRenamed("id", "trial").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    key = F.element_at(F.array(*map(F.lit, w)), F.col("i") + 1) + quality.gumbel(F.col("i"), F.lit("t"), F.col("trial"))
+    best = F.row_number().over(Window.partitionBy("trial").orderBy(key.desc()))
+    got = rows.withColumn("place", best).filter(f"place <= {k}").groupBy("i").count().toPandas().set_index("i")["count"]
+    assert np.allclose([got[i] / trials for i in range(5)], want, atol=0.015)
 
 
 def test_quality_without_labels_or_rows(spark, documents):
@@ -78,10 +143,20 @@ def test_threshold_weighs_good_documents():
 
 
 def test_held_out_quality(spark, sf_dir):
+    """The classifier on the few labels of the middle tables, and the draw where
+    there are enough; what is drawn isn't what lies above the threshold."""
+    at = lambda sf, name: spark.read.parquet(f"{sf_dir.replace('sf0.001', sf)}/{name}.parquet")
     got = quality.op2_quality(spark, sf_dir.replace("sf0.001", "sf0.01")).toPandas()
-    known = got.merge(spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/labels.parquet").toPandas(), on="doc_id")
+    known = got.merge(at("sf0.01", "labels").toPandas(), on="doc_id")
+    assert known[(known.quality == 1) & (known.toxic == 0)].accepted.mean() >= 0.98
+    assert known[known.quality == 0].accepted.mean() <= 0.15
+    model = quality.fit(spark, at("sf0.1", "documents"), at("sf0.1", "labels"))
+    got = quality.importance(spark, at("sf0.1", "documents"), model).toPandas()
+    known = got.merge(at("sf0.1", "labels").toPandas(), on="doc_id")
     assert known[(known.quality == 1) & (known.toxic == 0)].selected.mean() >= 0.98
     assert known[known.quality == 0].selected.mean() <= 0.15
+    above = got.weight >= model.threshold
+    assert got.selected.sum() == above.sum() and 0 < (got.selected != above).sum() < len(got) // 50
 
 
 WORDS = ["the", "of", "and", "in", "to"] + [f"word{i}" for i in range(600)]
