@@ -35,6 +35,7 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _URL_REST = re.compile(r"[^\s<>\"'`]+")
+_AUTHORITY = re.compile(r"[^\s<>\"'`/?#]+")
 _AFTER_CUE = re.compile(r"(?:\s?(?:no|nr|number|num)\b\.?)?[\s:#=]{0,4}", re.I)
 _IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]){11,30}")
 _SSN = re.compile(r"([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
@@ -49,8 +50,7 @@ def _automaton() -> ahocorasick.Automaton:
     found.add_word("@", ("at", 1))
     found.add_word("://", ("scheme", 3))
     for cue, kind in CUES.items():
-        for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
-            found.add_word(form, (kind, len(form)))
+        found.add_word(cue, (kind, len(cue)))
     found.make_automaton()
     return found
 
@@ -91,9 +91,19 @@ def _numbers(text: str, lo: int, hi: int) -> Iterator[tuple[str, int, int]]:
                 yield "phone", *m.span()
 
 
-def _iban_holds(value: str) -> bool:
-    value = value.replace(" ", "").upper()
-    return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
+def _iban_end(text: str, at: int, end: int) -> int:
+    """The longest end whose check digits hold (letters count 10 to 35, country
+    and check digits come last, the rest by 97 is 1), or 0."""
+    head = int(f"{int(text[at], 36)}{int(text[at + 1], 36)}{text[at + 2 : at + 4]}")
+    rest = n = best = 0
+    for i in range(at + 4, end):
+        if text[i] != " ":
+            value = int(text[i], 36)
+            rest = (rest * (100 if value > 9 else 10) + value) % 97
+            n += 1
+            if n >= 11 and (rest * 1_000_000 + head) % 97 == 1:
+                best = i + 1
+    return best
 
 
 def _after_cue(kind: str, text: str, at: int) -> tuple[str, int, int] | None:
@@ -103,26 +113,31 @@ def _after_cue(kind: str, text: str, at: int) -> tuple[str, int, int] | None:
     if kind == "account" and (m := _ACCOUNT.match(text, at)):
         return "account", *m.span()
     if kind == "iban" and (m := _IBAN.match(text, at)):
-        # the longest end whose check digits hold
-        for end in range(m.end(), at + 14, -1):
-            if text[end - 1] != " " and _iban_holds(text[at:end]):
-                return "iban", at, end
+        if end := _iban_end(text, at, m.end()):
+            return "iban", at, end
     return None
 
 
 def _login(text: str, at: int) -> tuple[str, int, int] | None:
-    """A URL that carries user information, around the "://" at ``at``."""
+    """A URL that carries user information, around the "://" at ``at``. The
+    authority ends before the next "://", so that a text is read once in all;
+    what follows a valid one is read up to the span's end, where the next begins."""
     start = at
     while start > 0 and at - start < 32 and (text[start - 1].isascii() and (text[start - 1].isalnum() or text[start - 1] in "+.-")):
         start -= 1
-    rest = _URL_REST.match(text, at + 3)
-    if start == at or rest is None:
+    authority = _AUTHORITY.match(text, at + 3)
+    if start == at or authority is None:
         return None
-    authority = re.split(r"[/?#]", rest.group(), maxsplit=1)[0]
-    user, sign, host = authority.rpartition("@")
+    user, sign, host = authority.group().rpartition("@")
     if not (user and sign and host.strip(".,;:!)")):
         return None
-    return "login", start, at + 3 + len(rest.group().rstrip(".,;:!)"))
+    return "login", start, at + 3 + len(_URL_REST.match(text, at + 3).group().rstrip(".,;:!)"))
+
+
+def _lower(text: str) -> str:
+    """A-Z and other letters in lower case, every character at its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c if len(x := c.lower()) != 1 else x for c in text)
 
 
 def spans(text: str) -> list[tuple[int, int, str]]:
@@ -130,7 +145,7 @@ def spans(text: str) -> list[tuple[int, int, str]]:
     found: list[tuple[str, int, int]] = []
     mail_end = run_end = 0
     cue_end = dict.fromkeys(KINDS, 0)
-    for last, (kind, n) in _ANCHORS.iter(text):
+    for last, (kind, n) in _ANCHORS.iter(_lower(text)):
         at = last + 1 - n
         if kind == "digit":
             if at < run_end:
@@ -149,7 +164,7 @@ def spans(text: str) -> list[tuple[int, int, str]]:
             if start < at and (m := _DOMAIN.match(text, at + 1)):
                 mail_end = m.end()
                 found.append(("email", start, mail_end))
-        else:
+        elif kind != "scheme" or at >= cue_end["login"]:
             span = _login(text, at) if kind == "scheme" else _after_cue(kind, text, last + 1)
             if span and span[1] >= cue_end[span[0]]:
                 found.append(span)
