@@ -21,6 +21,8 @@ from chromaloom.llm.common import id_and_text, schema_with, table
 
 #: The model is fitted on about so many labelled documents of each language at most.
 SAMPLE_DOCS = 2000
+#: Languages that a model may have: 64 KB each, in the driver and in what is broadcast.
+MAX_LANGS = 1000
 BUCKETS, SMOOTH = 1 << 14, 0.5
 #: Nats that a change of language costs, and the most that one word can weigh.
 SWITCH, MOST = 12.0, 10.0
@@ -59,7 +61,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 def words(text: str) -> list[str]:
     """Lower-cased runs of letters; the pattern also lets through number signs
     such as superscripts, which on their own are no word."""
-    found = _WORD.findall(text.lower())
+    low = text.lower()
+    # where a letter becomes two, words are found before they are lower-cased
+    found = _WORD.findall(low) if len(low) == len(text) else [w.lower() for w in _WORD.findall(text)]
     return found if all(map(str.isalpha, found)) else [w for w in found if any(map(str.isalpha, w))]
 
 
@@ -144,7 +148,7 @@ class Model:
         for place, i in enumerate(order):
             flat[offsets[: len(rows[i])] + place] = rows[i]
         emit = self.scores[flat]
-        stays, source = np.empty(emit.shape, bool), np.empty(len(flat), np.uint8)
+        stays, source = np.empty(emit.shape, bool), np.empty(len(flat), np.int32)
         best = np.zeros((len(rows), len(self.langs)), np.float32)
         for t in range(longest):
             lo, hi = offsets[t], offsets[t + 1]
@@ -153,16 +157,17 @@ class Model:
             away = cur[np.arange(hi - lo), top] - SWITCH
             source[lo:hi] = top
             stays[lo:hi] = cur >= away[:, None]
-            best[: hi - lo] = np.maximum(cur, away[:, None]) + emit[lo:hi]
+            # only differences count: sums stay small, however long the text
+            best[: hi - lo] = np.maximum(cur, away[:, None]) - cur[np.arange(hi - lo), top][:, None] + emit[lo:hi]
         label = best.argmax(axis=1)
-        out = np.empty(len(flat), np.uint8)
+        out = np.empty(len(flat), np.int32)
         for t in range(longest - 1, -1, -1):
             lo, hi = offsets[t], offsets[t + 1]
             now = label[: hi - lo]
             out[lo:hi] = now
             keep = stays[np.arange(lo, hi), now]
             label[: hi - lo] = np.where(keep, now, source[lo:hi])
-        found: list[np.ndarray] = [np.empty(0, np.uint8)] * len(rows)
+        found: list[np.ndarray] = [np.empty(0, np.int32)] * len(rows)
         for place, i in enumerate(order):
             found[i] = out[offsets[: len(rows[i])] + place]
         return found
@@ -176,8 +181,6 @@ def _spans(text: str, path: np.ndarray, langs: list[str]) -> list[dict]:
     if not len(cuts):
         return [{"start": 0, "end": len(text), "lang": langs[path[0]]}]
     places = [m.start() for m in _WORD.finditer(text) if any(map(str.isalpha, m.group()))]
-    if len(places) != len(path):  # lower-casing has changed the number of words
-        places = [round(i * len(text) / len(path)) for i in range(len(path))]
     edges = [0, *(places[c] for c in cuts), len(text)]
     return [{"start": a, "end": b, "lang": langs[path[c]]} for a, b, c in zip(edges, edges[1:], [0, *cuts])]
 
@@ -216,13 +219,16 @@ def fit(spark: SparkSession, labelled: DataFrame, sample_docs: int = SAMPLE_DOCS
     documents of each language at most, chosen by a hash of doc_id.
 
     Rows without a language, an id or a letter teach nothing. What reaches the
-    driver is one count for each language and hash bucket.
+    driver is one count for each language and hash bucket. More than MAX_LANGS
+    languages are an error.
     """
     rows = labelled.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang").filter("lang is not null and doc_id is not null")
     number = rows.groupBy("lang").count()
+    if (langs := number.count()) > MAX_LANGS:
+        raise ValueError(f"{langs} languages; a model has {MAX_LANGS} at most")
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6
     share = number.select(F.col("lang").alias("_lang"), (sample_docs / F.col("count")).alias("share"))
-    # one row a language; without the hint all texts would shuffle to meet it
+    # MAX_LANGS rows at most; without the hint all texts would shuffle to meet them
     sample = rows.join(F.broadcast(share), (F.col("lang") == F.col("_lang")) & (drawn < F.col("share"))).select("lang", "text")
     counts = sample.mapInArrow(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     return Model(counts.toPandas())
