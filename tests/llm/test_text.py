@@ -68,13 +68,25 @@ def test_base_spans_match_the_patterns(text):
     assert base(text) == pii.base_by_regex(text)
 
 
+RUNS = ["1", "a@", "@", "1.", "+1 ", "a.b@", "a://", "://", "a://b@", "a://b@c/", "a://@c", "iban ", "iban gb82", "ssn ", "account no. ", "a/c 12345", "social security "]
+
+
 def test_long_runs_are_linear():
+    """Runs of a megabyte of whatever an anchor may be."""
     import time
 
-    start = time.time()
-    for text in ("1" * 200_000, "a" * 200_000 + "@", "@" * 100_000, "1." * 100_000, "+1 " * 60_000, "a.b@" * 50_000):
+    for run in [*RUNS, "a"]:
+        text = run * (1_000_000 // len(run)) + ("@" if run == "a" else "")
+        start = time.time()
         pii.spans(text)
-    assert time.time() - start < 20
+        assert time.time() - start < 10, run
+
+
+def test_cues_in_any_spelling():
+    for cue in ("iBan", "IBAN", "iban", "IbAn"):
+        assert [k for _, _, k in pii.spans(f"İ {cue}: GB82WEST12345698765432")] == ["iban"]
+    assert [k for _, _, k in pii.spans("SOCIAL Security no 123-45-6789; ACCount 1234567")] == ["ssn", "account"]
+    assert pii.spans("İİ aCCT 1234567") == [(8, 15, "account")]
 
 
 def test_cued_spans():
@@ -112,6 +124,33 @@ def test_language_spans(spark, documents):
     assert language_id.identify(spark, documents([]), model).count() == 0
 
 
+def test_spans_start_where_words_start():
+    """Also where lower-casing makes one letter two."""
+    text = "İstanbul İİ and the İ end"
+    path = np.array([0, 0, 1, 1, 0, 1])
+    assert len(language_id.words(text)) == 6
+    got = language_id._spans(text, path, ["tr", "en"])
+    assert [(text[s["start"] : s["end"]], s["lang"]) for s in got] == [("İstanbul İİ ", "tr"), ("and the ", "en"), ("İ ", "tr"), ("end", "en")]
+
+
+def test_more_than_256_languages(spark, documents):
+    m = language_id.Model.__new__(language_id.Model)
+    m.langs, m.scores = [f"l{i:03}" for i in range(400)], np.zeros((400, 400), np.float32)
+    np.fill_diagonal(m.scores, 50)
+    assert m.paths([np.repeat([399, 7, 300], 3)])[0].tolist() == [399] * 3 + [7] * 3 + [300] * 3
+    with pytest.raises(ValueError, match="languages"):
+        language_id.fit(spark, documents([(i, "text", f"l{i}") for i in range(language_id.MAX_LANGS + 1)]))
+
+
+def test_very_long_texts_keep_their_scores():
+    """A switch late in a long text is seen as early ones are."""
+    m = language_id.Model.__new__(language_id.Model)
+    m.langs, m.scores = ["a", "b"], np.array([[0, -0.4], [-0.4, 0]], np.float32)
+    n = 100_000
+    path = m.paths([np.concatenate([np.zeros(n, np.int64), np.ones(40, np.int64)])])[0]
+    assert (path[:n] == 0).all() and (path[n:] == 1).all()
+
+
 def test_language_without_training(spark, documents):
     model = language_id.fit(spark, documents([]))
     assert language_id.identify(spark, documents([(1, "text")]), model).first().lang_pred == "und"
@@ -260,6 +299,35 @@ def test_shards(spark, documents, tmp_path):
     assert hot.min() > 90
 
 
+def test_slots_do_not_depend_on_partitions_and_files(spark, documents, tmp_path):
+    """Nor does the place of each of many copies, which no bucket gathers."""
+    rows = [(i, f"text {i}" * (i % 9)) for i in range(600)] + [(7, "copy " * 20)] * 500 + [(None, "free " * 20)] * 300 + [(3, None)] * 9 + [(5000, "long" * 9000)]
+    found = []
+    for n, (parts, files) in enumerate([(8, 1), (3, 7), (20, 4)]):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        docs = documents(rows, extra=False).repartition(files, "n_chars") if n else documents(rows, extra=False).orderBy("text")
+        sharding.write_shards(spark, docs, str(tmp_path / f"s{n}"), shards=3, bucket_bytes=4096)
+        got = sharding.read_shards(spark, str(tmp_path / f"s{n}"), docs)
+        found.append(sorted(map(str, got.select("shard", "slot", "record.doc_id", "record.text").collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(rows)
+    parts = spark.read.parquet(str(tmp_path / "s0" / "rows")).groupBy("shard", "bucket", "part").count().toPandas()
+    assert parts["count"].max() < 150 and parts.part.max() > 2
+
+
+def test_shuffles_are_uniform(spark, documents, tmp_path):
+    """In one bucket, pairs of rows come in either order and rows at any slot."""
+    docs = documents([(1, str(i)) for i in range(300)], extra=False)
+    slots = np.zeros((4, 300))
+    for seed in range(4):
+        sharding.write_shards(spark, docs, str(tmp_path / f"u{seed}"), shards=1, seed=seed)
+        for r in sharding.read_shards(spark, str(tmp_path / f"u{seed}"), docs).collect():
+            slots[seed, int(r.record.text)] = r.slot
+    assert all(sorted(x) == list(range(300)) for x in slots)
+    assert all(0.42 < np.mean(x[1:] > x[:-1]) < 0.58 for x in slots)
+    assert abs(np.corrcoef(slots) - np.eye(4)).max() < 0.25 and 100 < slots[:, :30].mean() < 200
+
+
 def test_one_more_shard_only_takes_rows(spark):
     from pyspark.sql import functions as F
 
