@@ -3,10 +3,16 @@
 Pass one hashes each normalised text and sets the hash in a bounded filter that
 counts to two. Pass two tests the hashes: only those that may be repeated
 shuffle, 72 bytes a row and never the text; the rest pass straight through.
+
+One filter serves 268 million rows with 4 bits a row or more. Beyond that the
+hash space is cut into blocks, and both passes go over the written hashes once a
+block, so the rest still passes straight through.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,10 +30,16 @@ def normalised(text: Column) -> Column:
     return F.when(flat.contains("  "), F.regexp_replace(flat, " {2,}", " ")).otherwise(flat)
 
 
-def _repeated(spark: SparkSession, hashes: DataFrame, rows: int) -> Column:
-    """Of a table with the column h: whether h may occur twice (pass one)."""
-    bits, filled = bloom.build(spark, hashes.select("h"), rows, repeated=True)
-    return bloom.might_contain("h", bits, filled)
+def _tested(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """``rows`` (written, with the column h) with again: whether h may occur twice."""
+    n = rows.count()
+    cuts, parts = bloom.blocks(n), []
+    for i in range(cuts):
+        part = rows if cuts == 1 else rows.filter(F.pmod(F.xxhash64("h"), F.lit(cuts)) == i)
+        shape, filled = bloom.build(spark, part.select("h"), n // cuts, repeated=True)
+        parts.append(stage(spark, part.withColumn("again", bloom.might_contain("h", shape, filled)), "tested"))
+        filled.unpersist()
+    return reduce(DataFrame.unionByName, parts)
 
 
 def duplicate_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -43,8 +55,7 @@ def duplicate_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     sha = F.sha2(normalised(F.col("text")), 256)
     rows = stage(spark, id_and_text(docs).select("doc_id", sha.alias("text_sha256")), "digests")
-    rows = rows.withColumn("h", F.xxhash64("text_sha256"))
-    tested = stage(spark, rows.withColumn("again", _repeated(spark, rows, rows.count())).drop("h"), "tested")
+    tested = _tested(spark, rows.withColumn("h", F.xxhash64("text_sha256")))
 
     alone = tested.filter(~F.col("again")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
@@ -60,12 +71,14 @@ def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of rows that
     repeat both doc_id and text one stays. Edge cases as in duplicate_groups.
 
-    Rows whose hash is not repeated never shuffle. The others meet the ids to
-    keep on (doc_id, digest), so that a large group of copies spreads evenly.
+    Rows whose hash is not repeated never shuffle; a filter of the repeated
+    hashes tells (it saturates beyond 268 million of them). The others meet the
+    ids to keep on (doc_id, digest), so that a large group of copies spreads evenly.
     """
     sha = F.sha2(normalised(F.coalesce(F.col("text"), F.lit(""))), 256)
     rows = stage(spark, docs.select("doc_id", sha.alias("_sha")).withColumn("h", F.xxhash64("_sha")), "digests")
-    again = _repeated(spark, rows, rows.count())
+    twice = stage(spark, _tested(spark, rows).filter("again").groupBy("h").count().filter("count > 1").select("h"), "twice")
+    again = bloom.might_contain("h", *bloom.build(spark, twice, twice.count(), repeated=False))
     keep = rows.filter(again).groupBy("_sha").agg(F.min("doc_id").alias("_keep")).withColumnRenamed("_sha", "_sha_keep")
     marked = docs.withColumn("_sha", sha).withColumn("h", F.xxhash64("_sha")).withColumn("_again", again)
     same = (F.col("_sha") == F.col("_sha_keep")) & F.col("doc_id").eqNullSafe(F.col("_keep"))

@@ -33,7 +33,30 @@ def test_saturated_bloom_still_holds_all(spark, monkeypatch):
     monkeypatch.setattr(bloom, "MIN_BITS", bloom.PAGE)
     keys = spark.range(60_000).withColumnRenamed("id", "k")
     bits, held = bloom.build(spark, keys, 60_000, False)
-    assert bits == bloom.PAGE and keys.filter(~bloom.might_contain("k", bits, held)).count() == 0
+    assert bits == (bloom.PAGE, 1) and keys.filter(~bloom.might_contain("k", bits, held)).count() == 0
+
+
+def test_blocks_of_the_hash_space(spark, documents, monkeypatch):
+    """More rows than one filter serves: blocks, and the same groups."""
+    rows = [(i, f"text {i}") for i in range(9000)] + [(20_000 + i, f"text {i}") for i in range(0, 9000, 90)]
+    docs = documents(rows)
+    want = sorted(map(str, exact_dedup.duplicate_groups(spark, docs).collect()))
+    monkeypatch.setattr(bloom, "MAX_BITS", bloom.PAGE // 4 * 4)
+    monkeypatch.setattr(bloom, "MIN_BITS", bloom.PAGE)
+    assert bloom.blocks(len(rows)) == 2
+    digests = docs.selectExpr("doc_id", "xxhash64(text) as h")
+    shuffled = exact_dedup._tested(spark, digests).filter("again").count()
+    assert 200 <= shuffled < len(rows) // 3
+    assert want == sorted(map(str, exact_dedup.duplicate_groups(spark, docs).collect()))
+    assert exact_dedup.deduplicated(spark, docs).count() == 9000
+
+
+def test_filters_of_many_chunks(spark, monkeypatch):
+    monkeypatch.setattr(bloom, "CHUNK", 64)
+    keys = spark.range(6000).selectExpr("id % 5000 as k")
+    shape, held = bloom.build(spark, keys.repartition(3), 6000, True)
+    got = {r.k for r in spark.range(6000).withColumnRenamed("id", "k").filter(bloom.might_contain("k", shape, held)).collect()}
+    assert set(range(1000)) <= got and len(got) < 1300
 
 
 def test_components(spark):
