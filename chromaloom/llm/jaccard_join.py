@@ -6,9 +6,17 @@ document's sketch, so the Hamming distance of two sketches is at most the size
 of the symmetric difference. Per size band there are two of them: a small one
 of a few bits a shingle, for Hamming distances, and one of K very wide pieces,
 of each of which only the XOR of its bits' 64-bit hashes is kept. At most D
-pieces differ. A document of n shingles drops its s(n) lightest pieces, which
-say least, where s(a) + s(b) < K - D for all partners: one piece that neither
-drops is equal in both. Documents join on equal pieces:
+pieces differ, so K - D are equal. Documents join on equal pieces, but
+
+* not on light pieces, which hold fewer than ``weight`` (mostly two) shingles:
+  unrelated documents would meet there. Equal pieces weigh the same, so a pair
+  still meets if either side has fewer than K - D light ones. A set with more
+  is cut anew by a second function, a third and so on, as is every such set, so
+  two of them meet in the first that serves either;
+* not on as many of its most frequent pieces as a set can spare (the prefix
+  filter): of one order of all pieces, what two sets share first is left.
+
+Then
 
 1. equal sets collapse to the one of the smallest id;
 2. in each bucket of equal pieces all members are paired with the smallest id
@@ -26,6 +34,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -39,64 +48,119 @@ from chromaloom.llm.common import id_and_text, stage, table, with_least
 from chromaloom.llm.components import components
 from chromaloom.llm.shingles import WordHashes, shingle_set
 
-#: Ratio of successive size bands; share of pieces that is dropped besides where
-#: a band has many; members that are compared at once.
-GROWTH, DROP, DROP_FROM, BLOCK = 1.3, 0.03, 16, 4000
+#: Ratio of successive size bands; members that are compared at once.
+GROWTH, BLOCK = 1.3, 4000
 #: Bits of the small sketch for each shingle: with few, pairs beyond D look nearer.
 BITS = 3
+#: Functions that cut a set into pieces, and the share of sets that may need another one.
+FUNCTIONS, ANEW = 12, 0.03
+
+
+class Band(NamedTuple):
+    first: int
+    top: int
+    #: K, or 0 where only equal sets link
+    pieces: int
+    #: shingles from which a piece isn't light
+    weight: int
+    #: words of the small sketch
+    folded: int
+
+
+def differ(a: int, b: int, percent: int) -> int:
+    """D: the most shingles in which linked sets of these sizes differ."""
+    return (a + b) * (100 - percent) // (100 + percent)
+
+
+def _light(n: int, pieces: int, weight: int) -> float:
+    """Light pieces to expect of n shingles."""
+    none = (1 - 1 / pieces) ** n
+    one = n / pieces * (1 - 1 / pieces) ** (n - 1) if pieces > 1 else float(n == 1)
+    return pieces * sum([none, one][:weight])
+
+
+def _more_than(mean: float, most: int) -> float:
+    """The chance of more than ``most`` (Poisson)."""
+    if mean > 200:
+        return 0.0 if most >= mean + 3 * math.sqrt(mean) else 1.0
+    term = total = math.exp(-mean)
+    for i in range(1, most + 1):
+        term *= mean / i
+        total += term
+    return 1 - total
+
+
+def _cut(top: int, most: int) -> tuple[int, int]:
+    """(pieces, weight): the heaviest pieces with which few sets have too many
+    light ones, and one piece to spare. Two shingles a piece may cost a quarter
+    more pieces; where even one costs too many, all pieces count."""
+    for weight, dearest in ((2, most // 4 + 2), (1, 2 * most + 2)):
+        spare = 0
+        while spare <= dearest:
+            pieces = most + 1 + spare
+            if _more_than(_light(top, pieces, weight), spare) <= ANEW:
+                return pieces + 1, weight
+            spare += max(1, spare // 8)
+    return most + 1, 0
 
 
 @lru_cache
-def bands(percent: int) -> list[tuple[int, int, int]]:
-    """(first size, pieces, words of the folded sketch) by band.
-
-    Band k serves the pairs whose smaller set lies in it; the larger one has at
-    most 100/percent times its size and so lies in it or in the next one.
-    """
+def bands(percent: int) -> list[Band]:
+    """Band k serves the pairs whose smaller set lies in it; the larger one has at
+    most 100/percent times its size and so lies in it or in the next one."""
     out, first = [], 1
     growth = max(GROWTH, 100 / percent)
     while first < 1 << 31:
         after = max(first + 1, int(first * growth), (first - 1) * 100 // percent + 1)
-        a = after - 1
-        b = a * 100 // percent
-        most = (a + b) * (100 - percent) // (100 + percent)
-        pieces = most + 1
-        if most >= DROP_FROM:
-            pieces = -(-2 * b * (100 - percent) // (100 + percent)) + 1 + 2 * round(DROP * most)
-        out.append((first, 0 if most == 0 else pieces, math.ceil(BITS * a / 64)))
+        top = after - 1
+        most = differ(top, top * 100 // percent, percent)
+        pieces, weight = _cut(top, most) if most else (0, 0)
+        out.append(Band(first, top, pieces, weight, math.ceil(BITS * top / 64)))
         first = after
     return out
 
 
-def dropped(n: int, pieces: int, percent: int) -> int:
-    """s(n): with d = (100 - t)/(100 + t), at most (K - 1)/2 - d*n."""
-    if pieces <= DROP_FROM:
-        return 0
-    return ((pieces - 1) * (100 + percent) - 2 * n * (100 - percent)) // (2 * (100 + percent))
-
-
 def _band_of(n: int, percent: int) -> int:
-    lo = [b[0] for b in bands(percent)]
+    lo = [b.first for b in bands(percent)]
     return int(np.searchsorted(lo, n, side="right")) - 1
 
 
-def sketch(shingles: np.ndarray, band: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(join keys, folded sketch) of a set in one band."""
-    _, pieces, folded = bands(percent)[band]
-    drop = dropped(len(shingles), pieces, percent)
-    z = mix(shingles ^ np.uint64(0xA0761D6478BD642F * (band + 1) % 2**64))
-    piece = ((z >> np.uint64(32)) % np.uint64(pieces)).astype(np.int64)
-    parity = np.zeros(pieces, np.uint64)
-    np.bitwise_xor.at(parity, piece, z)
-    bit = (z & np.uint64(0xFFFFFFFF)) % np.uint64(64 * folded)
-    fold = np.zeros(folded, np.uint64)
-    np.bitwise_xor.at(fold, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
-    kept = np.argsort(np.bincount(piece, minlength=pieces), kind="stable")[drop:]
-    keys = mix(parity[kept] + mix(kept.astype(np.uint64) + np.uint64(band << 40) + np.uint64(1)))
-    return keys, fold
-
-
-_SKETCHED = "doc_id long, n_shingles long, print binary, keys array<long>, own int, own_fold array<long>, less_fold array<long>"
+def spare(n: int, band: int, percent: int) -> int:
+    """Pieces beyond the one that a set of n shingles must share with any partner."""
+    b = bands(percent)[band]
+    # in the band below its own, a set only has smaller partners
+    partner = n * 100 // percent if n <= b.top else b.top
+    return b.pieces - 1 - differ(n, partner, percent)
+
+
+def sketch(shingles: np.ndarray, band: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(join keys, tags, small sketch) of a set in one band. A tag tells the
+    function that made the key (bits 16 and above) and how many of its keys the
+    set can do without."""
+    b = bands(percent)[band]
+    left = spare(len(shingles), band, percent)
+    keys, tags = [], []
+    for f in range(FUNCTIONS):
+        z = mix(shingles ^ np.uint64(0xA0761D6478BD642F * (band * FUNCTIONS + f + 1) % 2**64))
+        piece = ((z >> np.uint64(32)) % np.uint64(b.pieces)).astype(np.int64)
+        parity = np.zeros(b.pieces, np.uint64)
+        np.bitwise_xor.at(parity, piece, z)
+        weight = np.bincount(piece, minlength=b.pieces)
+        light = int((weight < b.weight).sum())
+        if f == 0:
+            bit = (z & np.uint64(0xFFFFFFFF)) % np.uint64(64 * b.folded)
+            fold = np.zeros(b.folded, np.uint64)
+            np.bitwise_xor.at(fold, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+        # a set that no function serves meets its like on all pieces of the last
+        kept = np.flatnonzero(weight >= b.weight) if light <= left or f < FUNCTIONS - 1 else np.arange(b.pieces)
+        keys.append(mix(parity[kept] + mix(kept.astype(np.uint64) + np.uint64((band * FUNCTIONS + f) << 40) + np.uint64(1))))
+        tags.append(np.full(len(kept), ((band * FUNCTIONS + f) << 16) + min(0xFFFF, max(0, left - light)), np.int32))
+        if light <= left:
+            break
+    return np.concatenate(keys), np.concatenate(tags), fold
+
+
+_SKETCHED = "doc_id long, n_shingles long, print binary, keys array<long>, tags array<int>, own int, own_fold array<long>, less_fold array<long>"
 
 
 def _sketches(size: int, percent: int) -> Callable:
@@ -106,22 +170,24 @@ def _sketches(size: int, percent: int) -> Callable:
     def one(text: str, memo: WordHashes) -> tuple:
         s = shingle_set(text, size, memo)
         n, own = len(s), -1
-        keys, folds = [], [None, None]
+        keys, tags, folds = [], [], [None, None]
         if n:
             own = _band_of(n, percent)
             least = -(-n * percent // 100)
             for i, band in enumerate((own, own - 1)):
-                if i == 0 or band >= 0 and least < bands(percent)[own][0]:
-                    if bands(percent)[band][1]:
-                        k, f = sketch(s, band, percent)
+                if i == 0 or band >= 0 and least < bands(percent)[own].first:
+                    if bands(percent)[band].pieces:
+                        k, t, f = sketch(s, band, percent)
                         keys.append(k)
+                        tags.append(t)
                         folds[i] = f.view(np.int64)
-        return n, _print(s), np.concatenate(keys).view(np.int64) if keys else None, own, *folds
+        found = (np.concatenate(keys).view(np.int64), np.concatenate(tags)) if keys else (None, None)
+        return n, _print(s), *found, own, *folds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
-        types = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        names = ["doc_id", "n_shingles", "print", "keys", "own", "own_fold", "less_fold"]
+        types = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        names = ["doc_id", "n_shingles", "print", "keys", "tags", "own", "own_fold", "less_fold"]
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 ids, texts = batch.column(0).slice(at, 500), batch.column(1).slice(at, 500)
@@ -137,14 +203,14 @@ def _print(s: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
 
 
-def _sets(size: int, bits: int, filled: object) -> Callable:
+def _sets(size: int, shape: bloom.Shape, filled: object) -> Callable:
     """The sets of the documents that the filter may hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         held = np.frombuffer(filled.value, np.uint8)
         for batch in batches:
-            batch = batch.filter(pa.array(bloom.test(held, batch.column(0).to_numpy(), bits)))
+            batch = batch.filter(pa.array(bloom.test(held, batch.column(0).to_numpy(), shape)))
             for at in range(0, batch.num_rows, 200):
                 ids, texts = batch.column(0).slice(at, 200), batch.column(1).slice(at, 200)
                 found = [shingle_set(t.as_py(), size, memo).tobytes() for t in texts]
@@ -263,8 +329,8 @@ class _Verifier:
         n = ids.count()
         if n == 0:
             return pairs
-        bits, filled = bloom.build(spark, ids, n, repeated=False)
-        texts = self.docs.filter("doc_id is not null").mapInArrow(_sets(self.size, bits, filled), "id long, hashes binary")
+        shape, filled = bloom.build(spark, ids, n, repeated=False)
+        texts = self.docs.filter("doc_id is not null").mapInArrow(_sets(self.size, shape, filled), "id long, hashes binary")
         sets = stage(spark, texts.join(ids, "id", "left_semi"), "sets")
         met = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a")
         met = met.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y")
@@ -295,18 +361,24 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = 4, perc
     made = stage(spark, read.mapInArrow(_sketches(size, percent), _SKETCHED), "sketches")
     # sets that no other row may have pass as they are; the rest meet their class
     full = made.filter("n_shingles > 0 and doc_id is not null").withColumn("h", F.xxhash64("print"))
-    bits, filled = bloom.build(spark, full.select("h"), full.count(), repeated=True)
-    again = bloom.might_contain("h", bits, filled)
+    shape, filled = bloom.build(spark, full.select("h"), full.count(), repeated=True)
+    again = bloom.might_contain("h", shape, filled)
     classes = stage(spark, with_least(full.filter(again).select("doc_id", "print"), "print", "doc_id").select("doc_id", "print", F.col("_least").alias("class_id")).distinct(), "classes")
     sketched = full.filter("keys is not null").withColumn("again", again).drop("h")
     first = classes.filter("doc_id = class_id").select(F.col("doc_id").alias("_id"), F.col("print").alias("_print"))
     met = sketched.filter("again").join(first, (F.col("doc_id") == F.col("_id")) & (F.col("print") == F.col("_print")), "left_semi")
     heads = sketched.filter("not again").unionByName(met.dropDuplicates(["doc_id", "print"])).drop("again")
 
-    buckets = heads.select("doc_id", F.explode("keys").alias("key"))
-    w = Window.partitionBy("key")
-    buckets = buckets.select("doc_id", "key", F.min("doc_id").over(w).alias("hub"), F.count("*").over(w).alias("members"))
-    buckets = stage(spark, buckets.filter("members > 1"), "buckets")
+    # sizes of all buckets, added up before they shuffle; only pieces that occur twice meet them
+    pieces = heads.select("doc_id", F.explode(F.arrays_zip("keys", "tags")).alias("p")).select("doc_id", "p.*").withColumnsRenamed({"keys": "key", "tags": "tag"})
+    sizes = pieces.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("members")).filter("members > 1")
+    sizes = stage(spark, sizes.withColumnRenamed("key", "_key"), "sizes")
+    shape, filled = bloom.build(spark, sizes.select("_key"), sizes.count(), repeated=False)
+    met = pieces.filter(bloom.might_contain("key", shape, filled)).join(sizes, F.col("key") == F.col("_key"))
+    # the most frequent pieces go, as many as the set can spare
+    place = F.row_number().over(Window.partitionBy("doc_id", "tag").orderBy(F.desc("members"), "key"))
+    met = met.withColumn("place", place).filter(F.col("place") > F.col("tag").bitwiseAND(0xFFFF))
+    buckets = stage(spark, met.select("doc_id", "key", "hub", "members"), "buckets")
     hubs = buckets.filter("doc_id != hub").groupBy(F.col("doc_id").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("equal"))
 
     test = _Verifier(spark, read, heads, size, percent)
@@ -350,8 +422,8 @@ def deduplicated(spark: SparkSession, docs: DataFrame, size: int = 4, percent: i
     suspects meet the ids to leave out; the others don't shuffle."""
     found = jaccard_components(spark, docs, size, percent)
     gone = stage(spark, found.filter("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    bits, filled = bloom.build(spark, gone, gone.count(), repeated=False)
-    marked = docs.withColumn("_maybe", F.col("doc_id").isNotNull() & bloom.might_contain("doc_id", bits, filled))
+    shape, filled = bloom.build(spark, gone, gone.count(), repeated=False)
+    marked = docs.withColumn("_maybe", F.col("doc_id").isNotNull() & bloom.might_contain("doc_id", shape, filled))
     held = marked.filter("_maybe").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
     return marked.filter("not _maybe").unionByName(held).select(*docs.columns)
 

@@ -183,17 +183,66 @@ def test_sketch_bounds_the_symmetric_difference():
         for _ in range(20):
             a = np.unique(rng.integers(0, 1 << 60, n).astype(np.uint64))
             b = np.unique(np.concatenate([a[: int(n * 0.9)], rng.integers(0, 1 << 60, n // 10).astype(np.uint64)]))
-            fa, fb = (jaccard_join.sketch(x, band, 85)[1] for x in (a, b))
+            fa, fb = (jaccard_join.sketch(x, band, 85)[2] for x in (a, b))
             assert np.bitwise_count(fa ^ fb).sum() <= len(np.setxor1d(a, b))
 
 
 @pytest.mark.parametrize("percent", [50, 80, 85, 95])
-def test_dropped_pieces_leave_one_in_common(percent):
-    for band, (first, pieces, _) in enumerate(jaccard_join.bands(percent)[:30]):
-        after = jaccard_join.bands(percent)[band + 1][0]
-        for a in {first, (first + after) // 2, after - 1}:
-            for b in {a, a * 100 // percent}:
-                apart = (a + b) * (100 - percent) // (100 + percent)
-                if pieces:
-                    s = [jaccard_join.dropped(n, pieces, percent) for n in (a, b)]
-                    assert min(s) >= 0 and sum(s) + apart < pieces
+def test_linked_sets_share_a_piece(percent):
+    """Sets that just link keep a common key, whichever keys are most frequent."""
+    rng = np.random.default_rng(percent)
+    kept = lambda k, t, order: {x for f in set(t) for x in sorted(k[t == f], key=lambda x: order[x])[f & 0xFFFF :]}
+    for n in (3, 6, 7, 9, 12, 14, 20, 33, 50, 90, 170, 400):
+        for _ in range(60):
+            band = jaccard_join._band_of(n, percent)
+            b = jaccard_join.bands(percent)[band]
+            m = int(rng.integers(n, n * 100 // percent + 1))
+            both = -(-(n + m) * percent // (100 + percent))
+            if not b.pieces or both > n:
+                continue
+            pool = rng.integers(0, 1 << 62, n + m).astype(np.uint64)
+            x, y = np.sort(pool[:n]), np.sort(np.concatenate([pool[:both], pool[n : n + m - both]]))
+            assert 100 * both >= percent * (n + m - both)
+            (kx, tx, _), (ky, ty, _) = (jaccard_join.sketch(v, band, percent) for v in (x, y))
+            # the keys that both have are the hottest, in any order
+            order = {k: rng.random() - (k in set(kx) & set(ky)) for k in {*kx, *ky}}
+            assert kept(kx, tx, order) & kept(ky, ty, order)
+
+
+@pytest.mark.parametrize("percent, n", [(85, 8), (85, 14), (85, 50), (80, 14), (80, 200)])
+def test_unrelated_sets_share_no_piece(percent, n):
+    """However many there are: no key says that a piece is empty."""
+    rng = np.random.default_rng(n)
+    band = jaccard_join._band_of(n, percent)
+    keys = [set(jaccard_join.sketch(np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64)), band, percent)[0].tolist()) for _ in range(1500)]
+    assert sum(map(len, keys)) == len(set().union(*keys))
+
+
+def test_sets_that_need_further_functions(monkeypatch):
+    """Also where no function serves: all pieces of the last one count."""
+    rng = np.random.default_rng(4)
+    tried = set()
+    for most in (jaccard_join.FUNCTIONS, 2, 1):
+        monkeypatch.setattr(jaccard_join, "FUNCTIONS", most)
+        for _ in range(700):
+            x = np.sort(rng.integers(0, 1 << 62, 14).astype(np.uint64))
+            y = np.sort(np.concatenate([x[1:], rng.integers(0, 1 << 62, 1).astype(np.uint64)]))
+            (kx, tx, _), (ky, _, _) = (jaccard_join.sketch(v, jaccard_join._band_of(14, 85), 85) for v in (x, y))
+            tried.add((most, len(set(tx >> 16))))
+            assert set(kx) & set(ky)
+    assert (12, 2) in tried
+
+
+def test_hot_passages_do_not_hide_links(spark, documents, monkeypatch):
+    """A passage that most texts share makes hot pieces; links are found without."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    rng = random.Random(12)
+    passage = [rng.choice(WORDS) for _ in range(50)]
+    rows = []
+    for i in range(150):
+        own = [rng.choice(WORDS) for _ in range(rng.randrange(20, 60))]
+        rows.append((10 * i, " ".join(passage + own)))
+        if i % 5 == 0:
+            rows.append((10 * i + 1, " ".join(edited(rng, passage + own, 1))))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(spark, documents(rows)).collect()}
+    assert got == slow_components(rows, 4, 85)
