@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chromaloom.llm.common import stage, with_least
+from chromaloom.llm.common import stage
+
+
+def _least_neighbour(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("u").agg(F.min("v").alias("m"))
 
 
 def _is_forest(edges: DataFrame) -> bool:
@@ -20,8 +24,9 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps over (u, v) with u > v: each
     step hangs the neighbours of a node below its smallest one, which takes a
     logarithmic number of rounds and keeps the table at most as large as it was.
-    A node's neighbours are spread over many tasks, so the centre of a star that
-    holds a third of all links gathers nowhere. An empty table gives an empty one.
+    Minima are added up before they shuffle and written, so that a join with them
+    can split the links of a node that holds a third of all. An empty table gives
+    an empty one.
     """
     a, b = F.col("a"), F.col("b")
     edges = links.filter(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
@@ -29,10 +34,11 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     while not _is_forest(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: larger neighbours hang below the least of the neighbourhood
-        large = with_least(both, "u", "v").filter("v > u").select(F.col("v").alias("u"), F.least("u", "_least").alias("v")).filter("u != v")
-        large = stage(spark, large, "large")
+        m = stage(spark, _least_neighbour(both).select("u", F.least("u", "m").alias("m")), "least")
+        large = both.filter("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
         # small star: smaller neighbours and the node itself likewise
-        small = with_least(large, "u", "v").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("_least").alias("v")), F.struct("u", F.col("_least").alias("v")))).alias("e")).select("e.*")
+        m = _least_neighbour(large)
+        small = large.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(m.select("u", F.col("m").alias("v")))
         edges = stage(spark, small.filter("u != v").distinct(), "edges")
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)

@@ -49,11 +49,13 @@ from chromaloom.llm.components import components
 from chromaloom.llm.shingles import WordHashes, shingle_set
 
 #: Ratio of successive size bands; members that are compared at once.
-GROWTH, BLOCK = 1.3, 4000
+GROWTH, BLOCK = 1.5, 4000
 #: Bits of the small sketch for each shingle: with few, pairs beyond D look nearer.
 BITS = 3
 #: Functions that cut a set into pieces, and the share of sets that may need another one.
 FUNCTIONS, ANEW = 12, 0.03
+#: Documents whose sets are cut at once, and pieces of them.
+DOCS, PIECES = 500, 2_000_000
 
 
 class Band(NamedTuple):
@@ -125,39 +127,46 @@ def _band_of(n: int, percent: int) -> int:
     return int(np.searchsorted(lo, n, side="right")) - 1
 
 
-def spare(n: int, band: int, percent: int) -> int:
-    """Pieces beyond the one that a set of n shingles must share with any partner."""
+def spare(n: np.ndarray, band: int, percent: int) -> np.ndarray:
+    """Pieces beyond the one that sets of n shingles must share with any partner."""
     b = bands(percent)[band]
     # in the band below its own, a set only has smaller partners
-    partner = n * 100 // percent if n <= b.top else b.top
+    partner = np.where(n <= b.top, n * 100 // percent, b.top)
     return b.pieces - 1 - differ(n, partner, percent)
 
 
-def sketch(shingles: np.ndarray, band: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(join keys, tags, small sketch) of a set in one band. A tag tells the
-    function that made the key (bits 16 and above) and how many of its keys the
-    set can do without."""
+def sketches(sets: list[np.ndarray], band: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(set, join key and tag of each kept piece; the sets' small sketches) in one
+    band. A tag tells the function that made the key (bits 16 and above) and how
+    many of its keys the set can do without."""
     b = bands(percent)[band]
-    left = spare(len(shingles), band, percent)
-    keys, tags = [], []
+    k, sizes = b.pieces, np.array([len(s) for s in sets])
+    left, todo = spare(sizes, band, percent), np.arange(len(sets))
+    of, keys, tags = [], [], []
+    folds = np.zeros(len(sets) * b.folded, np.uint64)
     for f in range(FUNCTIONS):
-        z = mix(shingles ^ np.uint64(0xA0761D6478BD642F * (band * FUNCTIONS + f + 1) % 2**64))
-        piece = ((z >> np.uint64(32)) % np.uint64(b.pieces)).astype(np.int64)
-        parity = np.zeros(b.pieces, np.uint64)
-        np.bitwise_xor.at(parity, piece, z)
-        weight = np.bincount(piece, minlength=b.pieces)
-        light = int((weight < b.weight).sum())
+        number = band * FUNCTIONS + f
+        owner = np.repeat(np.arange(len(todo)), sizes[todo])
+        z = mix(np.concatenate([sets[i] for i in todo]) ^ np.uint64(0xA0761D6478BD642F * (number + 1) % 2**64))
+        at = owner * k + ((z >> np.uint64(32)) % np.uint64(k)).astype(np.int64)
+        parity = np.zeros(len(todo) * k, np.uint64)
+        np.bitwise_xor.at(parity, at, z)
+        weight = np.bincount(at, minlength=len(todo) * k).reshape(-1, k)
         if f == 0:
             bit = (z & np.uint64(0xFFFFFFFF)) % np.uint64(64 * b.folded)
-            fold = np.zeros(b.folded, np.uint64)
-            np.bitwise_xor.at(fold, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+            np.bitwise_xor.at(folds, owner * b.folded + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+        over = left[todo] - (weight < b.weight).sum(axis=1)
         # a set that no function serves meets its like on all pieces of the last
-        kept = np.flatnonzero(weight >= b.weight) if light <= left or f < FUNCTIONS - 1 else np.arange(b.pieces)
-        keys.append(mix(parity[kept] + mix(kept.astype(np.uint64) + np.uint64((band * FUNCTIONS + f) << 40) + np.uint64(1))))
-        tags.append(np.full(len(kept), ((band * FUNCTIONS + f) << 16) + min(0xFFFF, max(0, left - light)), np.int32))
-        if light <= left:
+        kept = weight >= b.weight if f < FUNCTIONS - 1 else (weight >= b.weight) | (over < 0)[:, None]
+        row, piece = np.nonzero(kept)
+        salt = mix(np.arange(k, dtype=np.uint64) + np.uint64((number << 40) + 1))
+        of.append(todo[row])
+        keys.append(mix(parity.reshape(-1, k)[row, piece] + salt[piece]))
+        tags.append(((number << 16) + np.clip(over, 0, 0xFFFF))[row].astype(np.int32))
+        todo = todo[over < 0]
+        if not len(todo):
             break
-    return np.concatenate(keys), np.concatenate(tags), fold
+    return np.concatenate(of), np.concatenate(keys), np.concatenate(tags), folds.reshape(-1, b.folded)
 
 
 _SKETCHED = "doc_id long, n_shingles long, print binary, keys array<long>, tags array<int>, own int, own_fold array<long>, less_fold array<long>"
@@ -166,33 +175,42 @@ _SKETCHED = "doc_id long, n_shingles long, print binary, keys array<long>, tags
 def _sketches(size: int, percent: int) -> Callable:
     """own_fold is of the band of the set's size, less_fold of the band below it
     where that may hold a smaller partner."""
-
-    def one(text: str, memo: WordHashes) -> tuple:
-        s = shingle_set(text, size, memo)
-        n, own = len(s), -1
-        keys, tags, folds = [], [], [None, None]
-        if n:
-            own = _band_of(n, percent)
-            least = -(-n * percent // 100)
-            for i, band in enumerate((own, own - 1)):
-                if i == 0 or band >= 0 and least < bands(percent)[own].first:
-                    if bands(percent)[band].pieces:
-                        k, t, f = sketch(s, band, percent)
-                        keys.append(k)
-                        tags.append(t)
-                        folds[i] = f.view(np.int64)
-        found = (np.concatenate(keys).view(np.int64), np.concatenate(tags)) if keys else (None, None)
-        return n, _print(s), *found, own, *folds
+    names = ["doc_id", "n_shingles", "print", "keys", "tags", "own", "own_fold", "less_fold"]
+
+    def made(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+        n = np.array([len(s) for s in sets], np.int64)
+        own = np.searchsorted([b.first for b in bands(percent)], n, side="right") - 1
+        first = np.array([b.first for b in bands(percent)])[np.maximum(own, 0)]
+        folds: list[list] = [[None] * len(sets), [None] * len(sets)]
+        of, keys, tags = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], [np.empty(0, np.int32)]
+        for less, band_of in enumerate((own, np.where(-(-n * percent // 100) < first, own - 1, -1))):
+            for band in np.unique(band_of[band_of >= 0]):
+                if not (k := bands(percent)[band].pieces):
+                    continue
+                rows = np.flatnonzero(band_of == band)
+                step = max(1, PIECES // k)
+                for at in range(0, len(rows), step):
+                    part = rows[at : at + step]
+                    o, k_, t, f = sketches([sets[i] for i in part], int(band), percent)
+                    of.append(part[o])
+                    keys.append(k_)
+                    tags.append(t)
+                    for i, fold in zip(part, f.view(np.int64)):
+                        folds[less][i] = fold
+        order = np.argsort(np.concatenate(of), kind="stable")
+        ends = np.searchsorted(np.concatenate(of)[order], np.arange(len(sets) + 1))
+        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(x)[order].view(t))) for x, t in ((keys, np.int64), (tags, np.int32))]
+        fold_type = pa.list_(pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [ids, pa.array(n), pa.array(map(_print, sets), pa.binary()), *lists, pa.array(own.astype(np.int32)), *(pa.array(f, fold_type) for f in folds)], names=names
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
-        types = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        names = ["doc_id", "n_shingles", "print", "keys", "tags", "own", "own_fold", "less_fold"]
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                ids, texts = batch.column(0).slice(at, 500), batch.column(1).slice(at, 500)
-                rows = list(zip(*(one(t.as_py(), memo) for t in texts)))
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(rows, types))], names=names)
+            for at in range(0, batch.num_rows, DOCS):
+                texts = batch.column(1).slice(at, DOCS)
+                yield made(batch.column(0).slice(at, DOCS), [shingle_set(t.as_py(), size, memo) for t in texts])
 
     return run
 
@@ -364,7 +382,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = 4, perc
     shape, filled = bloom.build(spark, full.select("h"), full.count(), repeated=True)
     again = bloom.might_contain("h", shape, filled)
     classes = stage(spark, with_least(full.filter(again).select("doc_id", "print"), "print", "doc_id").select("doc_id", "print", F.col("_least").alias("class_id")).distinct(), "classes")
-    sketched = full.filter("keys is not null").withColumn("again", again).drop("h")
+    sketched = full.filter("size(keys) > 0").withColumn("again", again).drop("h")
     first = classes.filter("doc_id = class_id").select(F.col("doc_id").alias("_id"), F.col("print").alias("_print"))
     met = sketched.filter("again").join(first, (F.col("doc_id") == F.col("_id")) & (F.col("print") == F.col("_print")), "left_semi")
     heads = sketched.filter("not again").unionByName(met.dropDuplicates(["doc_id", "print"])).drop("again")

@@ -183,10 +183,17 @@ def test_sketch_bounds_the_symmetric_difference():
         for _ in range(20):
             a = np.unique(rng.integers(0, 1 << 60, n).astype(np.uint64))
             b = np.unique(np.concatenate([a[: int(n * 0.9)], rng.integers(0, 1 << 60, n // 10).astype(np.uint64)]))
-            fa, fb = (jaccard_join.sketch(x, band, 85)[2] for x in (a, b))
+            fa, fb = (sketch(x, band, 85)[2] for x in (a, b))
             assert np.bitwise_count(fa ^ fb).sum() <= len(np.setxor1d(a, b))
 
 
+def sketch(shingles, band, percent):
+    """(keys, tags, small sketch) of one set, cut among others."""
+    others = [np.arange(5, dtype=np.uint64), shingles, np.arange(20, dtype=np.uint64)]
+    of, keys, tags, folds = jaccard_join.sketches(others, band, percent)
+    return keys[of == 1], tags[of == 1], folds[1]
+
+
 @pytest.mark.parametrize("percent", [50, 80, 85, 95])
 def test_linked_sets_share_a_piece(percent):
     """Sets that just link keep a common key, whichever keys are most frequent."""
@@ -203,7 +210,7 @@ def test_linked_sets_share_a_piece(percent):
             pool = rng.integers(0, 1 << 62, n + m).astype(np.uint64)
             x, y = np.sort(pool[:n]), np.sort(np.concatenate([pool[:both], pool[n : n + m - both]]))
             assert 100 * both >= percent * (n + m - both)
-            (kx, tx, _), (ky, ty, _) = (jaccard_join.sketch(v, band, percent) for v in (x, y))
+            (kx, tx, _), (ky, ty, _) = (sketch(v, band, percent) for v in (x, y))
             # the keys that both have are the hottest, in any order
             order = {k: rng.random() - (k in set(kx) & set(ky)) for k in {*kx, *ky}}
             assert kept(kx, tx, order) & kept(ky, ty, order)
@@ -214,7 +221,7 @@ def test_unrelated_sets_share_no_piece(percent, n):
     """However many there are: no key says that a piece is empty."""
     rng = np.random.default_rng(n)
     band = jaccard_join._band_of(n, percent)
-    keys = [set(jaccard_join.sketch(np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64)), band, percent)[0].tolist()) for _ in range(1500)]
+    keys = [set(sketch(np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64)), band, percent)[0].tolist()) for _ in range(1500)]
     assert sum(map(len, keys)) == len(set().union(*keys))
 
 
@@ -224,10 +231,10 @@ def test_sets_that_need_further_functions(monkeypatch):
     tried = set()
     for most in (jaccard_join.FUNCTIONS, 2, 1):
         monkeypatch.setattr(jaccard_join, "FUNCTIONS", most)
-        for _ in range(700):
-            x = np.sort(rng.integers(0, 1 << 62, 14).astype(np.uint64))
+        for n in [*range(7, 60)] * 8:
+            x = np.sort(rng.integers(0, 1 << 62, n).astype(np.uint64))
             y = np.sort(np.concatenate([x[1:], rng.integers(0, 1 << 62, 1).astype(np.uint64)]))
-            (kx, tx, _), (ky, _, _) = (jaccard_join.sketch(v, jaccard_join._band_of(14, 85), 85) for v in (x, y))
+            (kx, tx, _), (ky, _, _) = (sketch(v, jaccard_join._band_of(n, 80), 80) for v in (x, y))
             tried.add((most, len(set(tx >> 16))))
             assert set(kx) & set(ky)
     assert (12, 2) in tried

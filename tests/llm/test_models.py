@@ -1,6 +1,7 @@
 """Quality classifier, decontamination, and the pipeline against a slow version."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -172,8 +173,8 @@ def changed(rng, words, share):
 
 def test_leaks_match_brute_force(spark, documents):
     rng = random.Random(8)
-    items = [(i, " ".join(passage(rng, rng.randrange(15, 60)))) for i in range(30)] + [(100, None), (101, "of the"), (102, "")]
-    rows = []
+    items = [(i, " ".join(passage(rng, rng.randrange(15, 60)))) for i in range(30)] + [(100, None), (101, "of the"), (102, ""), (103, "quixotic"), (104, "Hello, world")]
+    rows = [(2000, "He said hello world twice"), (2001, "world hello"), (2002, "a QUIXOTIC plan"), (2003, "hello big world"), (2004, "hello")]
     for i in range(300):
         text = passage(rng, rng.randrange(5, 300))
         if i % 5 == 0:
@@ -186,9 +187,15 @@ def test_leaks_match_brute_force(spark, documents):
     docs = documents(rows)
     bench = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 as score", "'x' as key")
     got = decontaminate.find_leaks(spark, docs, bench).toPandas()
-    want = {(i, j) for i, t in rows for j, x in items[:30] if decontaminate.brute_force(t or "", x)}
+    want = {(i, j) for i, t in rows for j, x in items if decontaminate.brute_force(t or "", x or "")}
     found = {(None if np.isnan(i) else int(i), j) for i, j in zip(got.doc_id, got.item_id)}
-    assert found <= want and len(want - found) <= len(want) // 25
+    grams = lambda t: {tuple(w[i : i + 3]) for w in [decontaminate.words(t or "")] for i in range(len(w) - 2)}
+    held = Counter(g for _, x in items for g in grams(x))
+    text, item = dict(rows), dict(items)
+    # what is lost has no rare trigram of the item anywhere, and that is little
+    assert found <= want and not [p for p in want - found if any(held[g] <= decontaminate.RARE for g in grams(text[p[0]]) & grams(item[p[1]]))]
+    assert len(want - found) <= len(want) // 25
+    assert {(2000, 104), (2002, 103)} <= found and not {(2001, 104), (2003, 104), (2004, 104)} & found
     assert {(None, 3)} <= found and not got.duplicated(["doc_id", "item_id"]).any()
     left = decontaminate.decontaminated(spark, docs, bench)
     assert left.columns == docs.columns
@@ -253,8 +260,26 @@ def test_alignment_score():
     for _ in range(200):
         a, b = rng.integers(0, 5, rng.integers(1, 20)), rng.integers(0, 6, rng.integers(0, 30))
         assert decontaminate.align(a, b)[0] == slow_align(a, b)
-    score, end, hits = decontaminate.align(np.arange(5), np.array([9, 0, 1, 2, 3, 4, 9]))
-    assert (score, end, hits) == (10, 6, 5)
+    assert decontaminate.align(np.arange(5), np.array([9, 0, 1, 2, 3, 4, 9])) == (10, 1, 6, 5)
+    # gaps and mismatches inside; the passage starts at its first match
+    assert decontaminate.align(np.arange(6), np.array([9, 9, 0, 1, 7, 3, 8, 4, 5, 9])) == (8, 2, 9, 5)
+
+
+def test_passage_places(spark, documents):
+    bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta")], "item_id long, text string")
+    rows = [(1, "x alpha beta gamma delta epsilon zeta eta theta y"), (2, "one two three alpha beta OTHER delta epsilon zeta eta theta"), (3, "w " * 90_000 + "alpha beta gamma delta epsilon z")]
+    got = {r.doc_id: (r.first_word, r.end_word) for r in decontaminate.find_leaks(spark, documents(rows), bench).collect()}
+    assert got == {1: (1, 9), 2: (3, 11), 3: (90_000, 90_005)}
+
+
+def test_common_phrases_are_no_seeds(spark, documents):
+    """A phrase of many items joins no text with all of them; each item still is found."""
+    items = [(i, f"which of the following is right about subject{i} and matter{i}") for i in range(60)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert decontaminate._seeds(spark, bench.withColumn("text", bench.text)).count() < 60 * 8
+    rows = [(i, f"So: {x}!") for i, x in items] + [(1000, "which of the following is right about nothing")]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(spark, documents(rows), bench).filter("doc_id < 1000 and score > 0.9").collect()}
+    assert {(i, i) for i, _ in items} <= got
 
 
 def test_pipeline_matches_slow_stages(spark, sf_dir):
