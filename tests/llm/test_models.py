@@ -174,7 +174,7 @@ def changed(rng, words, share):
 def test_leaks_match_brute_force(spark, documents):
     rng = random.Random(8)
     items = [(i, " ".join(passage(rng, rng.randrange(15, 60)))) for i in range(30)] + [(100, None), (101, "of the"), (102, ""), (103, "quixotic"), (104, "Hello, world")]
-    rows = [(2000, "He said hello world twice"), (2001, "world hello"), (2002, "a QUIXOTIC plan"), (2003, "hello big world"), (2004, "hello")]
+    rows = []
     for i in range(300):
         text = passage(rng, rng.randrange(5, 300))
         if i % 5 == 0:
@@ -184,6 +184,7 @@ def test_leaks_match_brute_force(spark, documents):
             text[at:at] = changed(rng, item, rng.choice([0, 0.05, 0.1, 0.2]))
         rows.append((i, " ".join(text).capitalize() + "."))
     rows += [(1000, None), (1001, ""), (None, items[3][1]), (7, rows[7][1])]
+    rows += [(2000, "He said hello world twice"), (2001, "world hello"), (2002, "a QUIXOTIC plan"), (2003, "hello big world"), (2004, "hello")]
     docs = documents(rows)
     bench = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 as score", "'x' as key")
     got = decontaminate.find_leaks(spark, docs, bench).toPandas()
