@@ -147,7 +147,8 @@ def build(spark: SparkSession, keys: DataFrame, rows: int, repeated: bool) -> tu
     tasks = min(MERGE_TASKS, max(1, rows // ROWS_A_MERGE, shape[0] // BITS_A_MERGE))
     pages = keys.mapInArrow(_count(shape), _SCHEMA).repartition(tasks, "page").mapInArrow(_merge(repeated), _SCHEMA)
     filled = np.zeros(shape[0] // 8, np.uint8)
-    for page, packed in pages.toLocalIterator():
+    # one filter at most, whole
+    for page, packed in pages.collect():
         filled[page * (PAGE // 8) : (page + 1) * (PAGE // 8)] = np.frombuffer(zlib.decompress(packed), np.uint8)
     return shape, spark.sparkContext.broadcast(filled.tobytes())
 
