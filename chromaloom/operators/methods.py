@@ -58,7 +58,7 @@ METHODS: dict[str, Method] = {
     "tencent_hsv": lambda pixels, k: hsv.palette(_hist(pixels), k),
     "tencent_hsv_weighted_observed": _remapped(hsv.palette),
     "color_thief_v3": _median_cut,
-    "colorpipette_inspired": lambda pixels, k: clustering.salient(pixels, k),
+    "colorpipette_inspired": lambda pixels, k: clustering.salient(visible(pixels), k),
     "pngquant_liq": _kernel("liq_like"),
     "pixelero_rgb_hist": _kernel("pixelero_rgb_hist"),
     "octree": _kernel("octree"),

@@ -63,11 +63,12 @@ def remap_all(palette: DataFrame, hist: DataFrame, k: int = 5) -> DataFrame:
     return _picked(_scored(palette, hist, "mass"), k, reuse=True)
 
 
-def remap_nearest(palette: DataFrame, hist: DataFrame, k: int = 5, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """The same among the ``neighbours`` nearest colours, by counts, after
-    pruning; without free candidate a colour is left out."""
+def remap_nearest(palette: DataFrame, hist: DataFrame, k: int = 5, neighbours: int = NEIGHBOURS, prune: bool = True) -> DataFrame:
+    """The same among the ``neighbours`` nearest colours, by counts; without free
+    candidate a colour is left out. Small clusters are pruned before the picks,
+    or not at all: then they take their picks, and ``pruned`` may follow."""
     near = Window.partitionBy("crop_id", "rank").orderBy("d", "rgb24")
-    scored = _scored(pruned(palette), hist, "n").withColumn("_near", F.row_number().over(near)).filter(F.col("_near") <= neighbours)
+    scored = _scored(pruned(palette) if prune else palette, hist, "n").withColumn("_near", F.row_number().over(near)).filter(F.col("_near") <= neighbours)
     return _picked(scored, k, reuse=False)
 
 

@@ -734,19 +734,20 @@ def _(spark, d):
     return _px(spark, d).groupBy("crop_id", segment.alias("segment")).agg(F.count("*").alias("n"), *(_r(F.avg(c), c) for c in "rgb"))
 
 
-@query("lockstep_mismatch", sql.with_(sql.OBSERVATIONS, "a as (select distinct crop_id from obs where event_id % 90 = 0), b as (select distinct crop_id from obs where event_id % 70 = 0)") + "select coalesce(a.crop_id, b.crop_id) as crop_id, a.crop_id is null as missing_left, b.crop_id is null as missing_right from a full join b on a.crop_id = b.crop_id where a.crop_id is null or b.crop_id is null")
+@query("lockstep_mismatch", sql.with_(sql.OBSERVATIONS, "a as (select distinct crop_id from obs where method = 'view'), b as (select distinct crop_id from obs where method = 'purchase')") + "select coalesce(a.crop_id, b.crop_id) as crop_id, a.crop_id is null as missing_left, b.crop_id is null as missing_right from a full join b on a.crop_id = b.crop_id where a.crop_id is null or b.crop_id is null")
 def _(spark, d):
-    ids = lambda k: _obs(spark, d).filter(F.col("event_id") % k == 0).select("crop_id").distinct()
-    a, b = ids(90).withColumn("l", F.lit(True)), ids(70).withColumn("r", F.lit(True))
+    """Crops that one of two methods has observed and the other hasn't."""
+    ids = lambda method: _obs(spark, d).filter(F.col("method") == method).select("crop_id").distinct()
+    a, b = ids("view").withColumn("l", F.lit(True)), ids("purchase").withColumn("r", F.lit(True))
     met = a.join(b, "crop_id", "full").filter("l is null or r is null")
     return met.select("crop_id", F.col("l").isNull().alias("missing_left"), F.col("r").isNull().alias("missing_right"))
 
 
-@query("external_results_join", sql.with_(sql.OBSERVATIONS, "x as (select event_id, route as kind, crop_id as id, coverage from obs where event_id % 4 = 0), o as (select route as kind, crop_id as id, max(elapsed_ms) as slowest from obs group by all)") + f"select event_id, kind, id, {r6('slowest')} as slowest from x join o using (kind, id)")
+@query("external_results_join", sql.with_(sql.OBSERVATIONS, "x as (select event_id, route as kind, crop_id as id, coverage from obs), o as (select route as kind, crop_id as id, max(elapsed_ms) as slowest from obs group by all)") + f"select event_id, kind, id, {r6('slowest')} as slowest from x join o using (kind, id)")
 def _(spark, d):
     obs = _obs(spark, d).withColumnsRenamed({"route": "kind", "crop_id": "id"})
     slow = obs.groupBy("kind", "id").agg(F.max("elapsed_ms").alias("slowest"))
-    return obs.filter("event_id % 4 = 0").select("event_id", "kind", "id").join(slow, ["kind", "id"]).select("event_id", "kind", "id", _r("slowest", "slowest"))
+    return obs.select("event_id", "kind", "id").join(slow, ["kind", "id"]).select("event_id", "kind", "id", _r("slowest", "slowest"))
 
 
 @query("method_set_operations", sql.with_(sql.OBSERVATIONS, "a as (select crop_id from obs where route = 'flat'), b as (select crop_id from obs where route = 'texture')") + "select 'both' as side, count(*) as n from (select * from a intersect select * from b) union all select 'flat only', count(*) from (select * from a except select * from b) union all select 'any', count(*) from (select * from a union select * from b)")
@@ -786,7 +787,7 @@ def _(spark, d):
 @query("palette_liq_like_observed")
 def _(spark, d):
     hist = _hist(spark, d)
-    return observed.pruned(observed.remap_nearest(clustering.cluster(hist, "liq_like"), hist))
+    return observed.pruned(observed.remap_nearest(clustering.cluster(hist, "liq_like"), hist, prune=False))
 
 
 @query("palette_oklab_kmeans_observed")

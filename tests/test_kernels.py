@@ -103,3 +103,40 @@ def test_salient_palette_of_a_flat_image_is_one_colour():
     x, y = (a.ravel() for a in np.meshgrid(np.arange(96), np.arange(96)))
     colours, weight = kernels.salient(np.tile([10, 90, 150], (96 * 96, 1)), x, y, 5)
     assert colours.tolist() == [[10, 90, 150]] and len(weight) == 1
+
+
+def test_best_cut_matches_all_cuts():
+    """The first cut is the one of all that leaves least variance on both sides."""
+    rng = np.random.default_rng(7)
+    for _ in range(30):
+        p, w = rng.integers(0, 9, (12, 3)) / 8, rng.random(12) + 0.1
+
+        def left(rows):
+            return float((w[rows][:, None] * (p[rows] - np.average(p[rows], axis=0, weights=w[rows])) ** 2 @ kernels.IMPORTANCE).sum()) if len(rows) else 0.0
+
+        every = np.arange(12)
+        best = max(left(every) - left(every[p[:, c] <= v]) - left(every[p[:, c] > v]) for c in range(3) for v in p[:, c])
+        gain, above = kernels._halves(p, w)
+        assert abs(gain - best) < 1e-9 and abs(left(every) - left(every[above]) - left(every[~above]) - gain) < 1e-9
+
+
+def test_regions_are_local_and_near():
+    """Each pixel has the nearest of the centres around it, also on large crops."""
+    import time
+
+    x, y = (a.ravel() for a in np.meshgrid(np.arange(320), np.arange(320)))
+    rgb = np.where((x < 160)[:, None], [200, 30, 30], [30, 30, 200])
+    start = time.time()
+    colours, _ = kernels.salient(rgb, x, y, 5)
+    assert time.time() - start < 10 and sorted(colours.tolist()) == [[30, 30, 200], [200, 30, 30]]
+    assert len(kernels.shrunk(x, y)) == 256 * 256 and len(kernels.shrunk(x[:50], y[:50])) == 50
+    label = kernels.superpixels(kernels.oklab(rgb), x, y, 64)
+    assert len(np.unique(label)) == 64 and all(len(np.unique(x[label == i] < 160)) == 1 for i in np.unique(label))
+
+
+def test_transparent_pixels_are_not_salient(spark):
+    from chromaloom.operators import methods
+
+    rows = [(1, i, i % 40, i // 40, *((250, 10, 10, 0) if i % 40 < 10 else (10, 90, 150, 255))) for i in range(1600)]
+    px = spark.createDataFrame(rows, "crop_id int, idx int, x int, y int, r int, g int, b int, a int")
+    assert [(p.r, p.g, p.b) for p in methods.extract(px, "colorpipette_inspired").collect()] == [(10, 90, 150)]
