@@ -88,7 +88,8 @@ def _parted(spark: SparkSession, rows: DataFrame, bucket_bytes: int) -> tuple[Da
     sums = rows.groupBy("shard", "bucket").agg(F.sum("size").alias("bytes")).filter(F.col("bytes") > OVERFULL * bucket_bytes)
     full = stage(spark, sums.select(F.col("shard").alias("_shard"), F.col("bucket").alias("_bucket"), F.ceil(F.col("bytes") / bucket_bytes).cast("int").alias("_parts")), "overfull")
     n, more = full.agg(F.count("*"), F.coalesce(F.sum("_parts"), F.lit(0))).first()
-    whole = rows.withColumn("part", F.lit(0)).withColumn("copy", zero)
+    # no literal: grouping by one would not see that the rows are dealt by it, and shuffle again
+    whole = rows.withColumn("part", F.pmod("bucket", F.lit(1))).withColumn("copy", zero)
     columns = ["shard", "bucket", "part", "copy", "h", "record"]
     if not n:
         return whole.select(columns), 0

@@ -315,6 +315,18 @@ def test_slots_do_not_depend_on_partitions_and_files(spark, documents, tmp_path)
     assert parts["count"].max() < 150 and parts.part.max() > 2
 
 
+def test_slots_without_copies(spark, documents, tmp_path):
+    """Nothing is split, and rows shuffle once, into as many partitions as buckets."""
+    docs = documents([(i, f"text {i}" * (i % 9)) for i in range(900)], extra=False)
+    found = []
+    for n, (parts, files) in enumerate([(8, 1), (3, 7)]):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        sharding.write_shards(spark, docs.repartition(files, "text"), str(tmp_path / f"s{n}"), shards=3, bucket_bytes=4096)
+        found.append(sorted(map(str, sharding.read_shards(spark, str(tmp_path / f"s{n}"), docs).select("shard", "slot", "record.doc_id").collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found[0] == found[1]
+
+
 def test_shuffles_are_uniform(spark, documents, tmp_path):
     """In one bucket, pairs of rows come in either order and rows at any slot."""
     docs = documents([(1, str(i)) for i in range(300)], extra=False)
