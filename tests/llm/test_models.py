@@ -317,3 +317,17 @@ def test_filters_are_exact_and_jaccard(spark, documents):
     docs = documents(rows)
     assert sorted(r.doc_id for r in exact_dedup.deduplicated(spark, docs).collect()) == [1, 3, 4]
     assert sorted(r.doc_id for r in jaccard_join.deduplicated(spark, docs, 5, 80).collect()) == [1, 4]
+
+
+def test_pipeline_on_odd_tables(spark, documents, write_tables):
+    """Nulls, empty and very long texts, copies, and no rows at all."""
+    import corpus_pipeline
+
+    long = " ".join(f"w{i % 9973}" for i in range(60_000))
+    rows = [(1, None), (None, None), (2, ""), (3, long), (4, long + " end"), (5, long), (None, "a text without id"), (6, "a short text"), (6, "a short text"), (7, "holds one two three four five six indeed")]
+    bench = spark.createDataFrame([(1, "one two three four five six"), (2, None), (None, "")], "item_id long, text string")
+    to = write_tables(documents=documents(rows), benchmark=bench, labels=labels(spark, [(None, 1, 0), (6, None, None)]))
+    got = sorted(((r.doc_id or 0), r.n_tokens > 0) for r in corpus_pipeline.run(spark, to).collect())
+    assert got == [(0, True), (1, False), (3, True), (6, True)]
+    none = write_tables(documents=documents([]), benchmark=bench, labels=labels(spark, []))
+    assert corpus_pipeline.run(spark, none).count() == 0
