@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,22 @@ from chromaloom.operators import clustering, histogram, observed, sampling
 #: Methods of box palettes and the kernels behind them.
 METHODS = {"pixelero": "pixelero_rgb_hist", "hsv_pixelero": "hsv_pixelero_kmeans", "octree": "octree", "libimagequant": "liq_like"}
 
+#: Long names, which also tell that clusters are pruned and colours observed.
+_LONG = re.compile(r"(?P<base>pixelero|hsv_pixelero|octree|pngquant_liq_speed(?P<speed>[0-9]+))_observed_pruned")
+
+
+def kernel_of(method: str) -> str:
+    """The kernel behind a method by its short or long name. The quantiser's
+    speed, 1 to 10, is checked; this kernel works alike at each."""
+    name = method
+    if m := _LONG.fullmatch(method):
+        if m["speed"] and not 1 <= int(m["speed"]) <= 10:
+            raise ValueError(f"the speed is 1 to 10, not {m['speed']}")
+        name = "libimagequant" if m["speed"] else m["base"]
+    if name not in METHODS:
+        raise ValueError(f"unknown method {method!r}; one of {sorted(METHODS)}")
+    return METHODS[name]
+
 
 def sampled(pixels: DataFrame, boxes: DataFrame, most: int = sampling.BOX_PIXELS) -> DataFrame:
     """The sampled pixels of each box, of pixels(path, x, y, r, g, b) and
@@ -26,12 +44,15 @@ def sampled(pixels: DataFrame, boxes: DataFrame, most: int = sampling.BOX_PIXELS
 def box_palettes(pixels: DataFrame, boxes: DataFrame, method: str = "libimagequant", k: int = 5, most: int = sampling.BOX_PIXELS) -> DataFrame:
     """path, box_index, rank, r, g, b, weight: observed colours, clusters below
     one percent left out."""
-    if method not in METHODS:
-        raise ValueError(f"unknown method {method!r}; one of {sorted(METHODS)}")
+    kernel = kernel_of(method)
     if not 1 <= k <= 32:
         raise ValueError("a box palette has 1 to 32 colours")
     hist = histogram.exact(sampled(pixels, boxes, most))
-    palette = observed.remap_nearest(clustering.cluster(hist, METHODS[method], k), hist, k)
+    return by_box(observed.remap_nearest(clustering.cluster(hist, kernel, k), hist, k))
+
+
+def by_box(palette: DataFrame) -> DataFrame:
+    """Palette rows of crops path#box_index with these two columns instead."""
     where = F.substring_index("crop_id", "#", -1).cast("int")
     return palette.select(F.expr("substring(crop_id, 1, length(crop_id) - length(substring_index(crop_id, '#', -1)) - 1)").alias("path"), where.alias("box_index"), "rank", "r", "g", "b", "weight")
 

@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from chromaloom.operators.ordering import with_prefix
 
 SAMPLE, COVERAGE, BOX_PIXELS = 64, 4096, 2048
+#: Sides of a shrunk image: its short side, and what both are multiples of.
+SHORT_SIDE, GRAIN = 256, 16
 # An odd multiplier and modulus of the sampling hash.
 _MUL, _HALF, _MOD = 2_654_435_761, 2_147_483_648, 4_294_967_296
 
@@ -50,6 +52,14 @@ def grid_shape(w: Column, h: Column, most: int = BOX_PIXELS) -> tuple[Column, Co
     return F.when(whole, w).otherwise(fit), F.when(whole, h).otherwise(rows)
 
 
+def shrunk_size(width: Column, height: Column, short: int = SHORT_SIDE, grain: int = GRAIN) -> tuple[Column, Column]:
+    """(width, height) once the short side is ``short`` and both are multiples of
+    ``grain``; an image with a side of at most ``short`` keeps its size."""
+    least = F.least(width, height)
+    fit = lambda x: F.when(least <= short, x).otherwise((F.ceil(F.greatest(F.rint(x * short / least), F.lit(1.0)) / grain) * grain).cast("int"))
+    return fit(width), fit(height)
+
+
 def clamp_boxes(boxes: DataFrame) -> DataFrame:
     """boxes(path, box_index, l, t, r, b, width, height) cut to their image;
     boxes without area go, the others keep their index."""

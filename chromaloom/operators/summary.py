@@ -133,6 +133,20 @@ def rates_of(spark: SparkSession, rates_: Mapping[str, float]) -> DataFrame:
     return spark.createDataFrame([(k, float(v)) for k, v in rates_.items()], "method string, crops_s double")
 
 
+def audit_projection(audits: DataFrame, provisioned: float) -> DataFrame:
+    """``audits`` (inference_seconds, ...) with what such a run means for the
+    plan: crops a second, processes, and worker hours for a thousand million."""
+    rate = 1.0 / _at_least(F.col("inference_seconds"))
+    return audits.withColumns({"crops_s": F.round(rate, 6), "processes": F.ceil(F.lit(provisioned) / rate).cast("long"), "hours_1b": F.round(1e9 / rate / 3600, 2)})
+
+
+def with_audit(methods: DataFrame, audit: DataFrame, name: str) -> DataFrame:
+    """Rows of methods and, below them, that of an audited tool; what only one
+    side has is null on the other."""
+    below = audit.withColumns({"method": F.lit(name), "is_audit": F.lit(True)})
+    return methods.withColumn("is_audit", F.lit(False)).unionByName(below, allowMissingColumns=True)
+
+
 def browse_index(obs: DataFrame) -> DataFrame:
     """One row a crop: its batch, its slowest time, and each method's last
     observation as a map."""
@@ -156,6 +170,24 @@ def remaining(crops: DataFrame, done: DataFrame) -> DataFrame:
     return crops.join(done.select("crop_id").distinct(), "crop_id", "left_anti")
 
 
+def record(results: DataFrame, method: str) -> DataFrame:
+    """Whole results, ready for JSON: colours as triples and in hex, numbers
+    rounded to six places, diagnostics as a map. Without palette the primary
+    colour is the palette."""
+    from chromaloom.functions import color
+
+    p = ("primary.r", "primary.g", "primary.b")
+    triple = lambda c: F.array(c["r"], c["g"], c["b"])
+    colours = F.when(F.size("palette") > 0, F.col("palette")).otherwise(F.array("primary"))
+    known = ("crop_id", "route", "primary", "palette", "weights", "confidence", "observed")
+    measures = [x for c in results.columns if c not in known for x in (F.lit(c), F.round(F.col(c).cast("double"), 6))]
+    return results.select(
+        "crop_id", F.lit(method).alias("method"), triple(F.col("primary")).alias("primary_rgb"), color.rgb24(p).alias("rgb24"), color.hex_of(p).alias("hex"),
+        F.transform(colours, triple).alias("palette_rgb"), F.transform(colours, lambda c: color.hex_of((c["r"], c["g"], c["b"]))).alias("palette_hex"),
+        F.transform("weights", lambda w: F.round(w, 6)).alias("weights"), F.round("confidence", 6).alias("confidence"), "route", "observed", F.create_map(*measures).alias("diagnostics"),
+    )
+
+
 def compact(results: DataFrame, method: str) -> DataFrame:
     """Compact annotations, schema version 1, of adaptive-like results."""
     from chromaloom.functions import color

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chromaloom.functions import color
-from chromaloom.operators import adaptive, clustering, histogram, hsv, methods, observed, ordering, quality, sampling, summary
+from chromaloom.operators import adaptive, clustering, histogram, hsv, methods, observed, ordering, quality, roi, sampling, summary
 from chromaloom.plans import sql
 from chromaloom.plans.sql import r6
 from chromaloom.sources import manifests, scene
@@ -211,17 +211,17 @@ def _(spark, d):
     return hsv.dominant(_hist(spark, d)).select("crop_id", "r", "g", "b", "bin", "route", _r("confidence", "confidence"))
 
 
-@query(
-    "hsv_palette",
-    sql.with_(
-        *_HSV,
-        "hp_in as (select h.*, t.rank, t.ratio from hh h join hb t using (crop_id, hbin) where t.rank <= 12 and t.mass > 0)",
-        sql.nearest("hp_in", "crop_id, hbin, rank, ratio", "hp_rep"),
-        f"hp_cand as (select crop_id, rank, r, g, b, ratio, {sql.lab()} from (select crop_id, rank, r, g, b, ratio from hp_rep union all select w.crop_id, 0, w.r, w.g, w.b, t.ratio from hwin w join hb t using (crop_id, hbin)))",
-        sql.greedy("hp_cand", "hp_sel", 0.025, 5),
-    )
-    + f"select s.crop_id, s.step as rank, c.r, c.g, c.b, {r6('c.ratio')} as weight from hp_sel s join hp_cand c on c.crop_id = s.crop_id and c.rank = s.rank",
-)
+_HPAL = [
+    *_HSV,
+    "hp_in as (select h.*, t.rank, t.ratio from hh h join hb t using (crop_id, hbin) where t.rank <= 12 and t.mass > 0)",
+    sql.nearest("hp_in", "crop_id, hbin, rank, ratio", "hp_rep"),
+    f"hp_cand as (select crop_id, rank, r, g, b, ratio, {sql.lab()} from (select crop_id, rank, r, g, b, ratio from hp_rep union all select w.crop_id, 0, w.r, w.g, w.b, t.ratio from hwin w join hb t using (crop_id, hbin)))",
+    sql.greedy("hp_cand", "hp_sel", 0.025, 5),
+    "hpal as (select s.crop_id, s.step as rank, c.r, c.g, c.b, c.ratio as weight from hp_sel s join hp_cand c on c.crop_id = s.crop_id and c.rank = s.rank)",
+]
+
+
+@query("hsv_palette", sql.with_(*_HPAL) + f"select crop_id, rank, r, g, b, {r6('weight')} as weight from hpal")
 def _(spark, d):
     return hsv.palette(_hist(spark, d)).select("crop_id", "rank", "r", "g", "b", _r("weight", "weight"))
 
@@ -386,6 +386,11 @@ def _(spark, d):
     return observed.pruned(_means(_hist(spark, d))).select("crop_id", "rank", _r("ratio", "ratio"))
 
 
+@query("palette_tencent_hsv_weighted_observed", sql.with_(*_HPAL, _SCORED.format(pal="hpal", by="mass"), sql.picks("sc", "pk", 5, True)) + _UNPACK)
+def _(spark, d):
+    return methods.extract(_px(spark, d), "tencent_hsv_weighted_observed").select("crop_id", "rank", "r", "g", "b", _r("weight", "weight"))
+
+
 # Adaptive method
 
 
@@ -449,6 +454,20 @@ def _(spark, d):
     return out.withColumn("palette_weight_u16", F.array_join(F.transform("palette_weight_u16", lambda w: w.cast("string")), " ")).withColumn("confidence", F.col("confidence") + 0.0).drop("palette_rgb24")
 
 
+@query(
+    "result_record",
+    sql.with_(sql.ADAPTIVE, """pal as (select a.crop_id, string_agg(printf('%d,%d,%d', c.r, c.g, c.b), ' ' order by c.place) as palette_rgb, string_agg(printf('#%02X%02X%02X', c.r, c.g, c.b), ' ' order by c.place) as palette_hex,
+      count(*) as n_weights, sum(round(c.weight, 6)) as weight from adaptive a join chosen c using (crop_id) group by a.crop_id)""")
+    + f"select crop_id, 'adaptive_v1' as method, printf('%d,%d,%d', r, g, b) as primary_rgb, r * 65536 + g * 256 + b as rgb24, printf('#%02X%02X%02X', r, g, b) as hex, palette_rgb, palette_hex, cast(n_weights as int) as n_weights, {r6('weight')} as weight, {r6('confidence')} as confidence, route, true as observed, cast(n as double) as n, {r6('spread')} as spread, {r6('r2')} as r2 from adaptive join pal using (crop_id)",
+)
+def _(spark, d):
+    text = lambda c: F.concat_ws(",", F.transform(c, lambda x: x.cast("string")))
+    full = summary.record(_adaptive(spark, d), "adaptive_v1")
+    out = full.withColumns({"primary_rgb": text(F.col("primary_rgb")), "palette_rgb": F.array_join(F.transform("palette_rgb", text), " "), "palette_hex": F.array_join("palette_hex", " ")})
+    out = out.withColumns({"n_weights": F.size("weights"), "weight": F.round(F.aggregate("weights", F.lit(0.0), lambda t, w: t + w), 6) + 0.0, "confidence": F.col("confidence") + 0.0})
+    return out.withColumns({c: F.element_at("diagnostics", c) + 0.0 for c in ("n", "spread", "r2")}).drop("weights", "diagnostics")
+
+
 @query(
     "synthetic_eval",
     sql.with_(sql.SYNTHETIC, sql.VIS, sql.HIST, sql.Q12, sql.SAMPLE.replace("cast(crop_id as bigint) %", "length(crop_id) %"), sql.STATS, sql.GRADIENT, sql.ROUTED, sql.HEAVY_IN_TOP,
@@ -594,6 +613,29 @@ def _(spark, d):
     return summary.scenarios(summary.capacity(spark), summary.summarize(_obs(spark, d), PROVISIONED).select("method", "crops_s"))
 
 
+@query("audit_projection", sql.with_(sql.OBSERVATIONS, f"a as (select event_id, greatest(elapsed_ms / 1000, 1e-12) as s from obs)") + f"select event_id, round(1 / s, 6) + 0e0 as crops_s, cast(ceil({PROVISIONED!r}e0 / (1 / s)) as bigint) as processes, round(1e9 / (1 / s) / 3600, 2) + 0e0 as hours_1b from a")
+def _(spark, d):
+    """Every observation taken for the audit of one crop."""
+    audits = _obs(spark, d).select("event_id", (F.col("elapsed_ms") / 1000).alias("inference_seconds"))
+    return summary.audit_projection(audits, PROVISIONED).drop("inference_seconds")
+
+
+_RATES = f"rates as (select method, round(count(*) / greatest(sum(elapsed_ms) / 1000, 1e-12), 3) as crops_s, false as is_audit, cast(ceil({PROVISIONED!r}e0 / (count(*) / greatest(sum(elapsed_ms) / 1000, 1e-12))) as bigint) as processes, round(1e9 / (count(*) / greatest(sum(elapsed_ms) / 1000, 1e-12)) / 3600, 2) as hours_1b from obs group by method)"
+_AUDIT = f"slow as (select max(elapsed_ms) / 1000 as s from obs), below as (select 'audited' as method, round(1 / s, 6) as crops_s, true as is_audit, cast(ceil({PROVISIONED!r}e0 / (1 / s)) as bigint) as processes, round(1e9 / (1 / s) / 3600, 2) as hours_1b from slow)"
+
+
+@query("methods_with_audit", sql.with_(sql.OBSERVATIONS, _RATES, _AUDIT) + "select * from rates union all select * from below")
+def _(spark, d):
+    obs = _obs(spark, d)
+    audit = summary.audit_projection(obs.agg((F.max("elapsed_ms") / 1000).alias("inference_seconds")), PROVISIONED).drop("inference_seconds")
+    return summary.with_audit(summary.summarize(obs, PROVISIONED).select("method", "crops_s", "processes", F.col("worker_hours_per_1b").alias("hours_1b")), audit, "audited")
+
+
+@query("worker_mean", sql.with_(sql.OBSERVATIONS) + "select batch, round(avg(elapsed_ms), 4) + 0e0 as mean_ms from obs group by batch")
+def _(spark, d):
+    return _obs(spark, d).groupBy("batch").agg((F.round(F.avg("elapsed_ms"), 4) + 0.0).alias("mean_ms"))
+
+
 @query("ci95", sql.with_(sql.OBSERVATIONS) + f"select method, {r6('coalesce(1.96e0 * stddev_samp(elapsed_ms) / sqrt(count(*)), 0)')} as half from obs group by method")
 def _(spark, d):
     s = F.when(F.count("*") < 2, 0.0).otherwise(1.96 * F.stddev_samp("elapsed_ms") / F.sqrt(F.count("*")))
@@ -702,6 +744,65 @@ def _(spark, d):
     return manifests.crop_geometry(every).select("id", "variant", "side", F.col("left").alias("left_"), F.col("top").alias("top_"))
 
 
+_GRID = """c1 as (select path, box_index, l, t, r - l as w, b - t as h, greatest(1, least(r - l, cast(round_even(sqrt(64 * (r - l) / cast(greatest(b - t, 1) as double)), 0) as int))) as c0 from clamped),
+c2 as (select *, greatest(1, least(h, 64 // c0)) as r0 from c1),
+c3 as (select path, box_index, l, t, w, h, case when w * h <= 64 then w when r0 * c0 > 64 then greatest(1, 64 // r0) else c0 end as cols, case when w * h <= 64 then h else r0 end as rows_ from c2),
+pt as (select path, box_index, i * cols + j as idx, l + j * (w - 1) // greatest(cols - 1, 1) as x, t + i * (h - 1) // greatest(rows_ - 1, 1) as y from c3, range(64) as a(i), range(64) as b(j) where i < rows_ and j < cols)"""
+_CROP_BOXES = """boxes as (select cast(c_custkey % 50 as varchar) as path, cast(c_custkey as int) as box_index, cast(c_custkey * 7 % 25 - 2 as int) as l, cast(c_custkey * 11 % 24 - 2 as int) as t,
+  cast(c_custkey * 7 % 25 + 1 + c_custkey * 13 % 15 as int) as r, cast(c_custkey * 11 % 24 + 1 + c_custkey * 17 % 12 as int) as b from customer),
+clamped as (select * from (select path, box_index, greatest(l, 0) as l, greatest(t, 0) as t, least(r, 25) as r, least(b, 24) as b from boxes) where r > l and b > t)"""
+#: The pixels that boxes sample, each box a crop path#box_index.
+_ROI = [sql.SCENE, _CROP_BOXES, _GRID, "vis as (select pt.path || '#' || pt.box_index as crop_id, pt.path, pt.box_index, pt.idx, pt.x, pt.y, px.r, px.g, px.b, 1e0 as w from pt join px on cast(px.crop_id as varchar) = pt.path and px.x = pt.x and px.y = pt.y)"]
+_ROI_PAL = [*_ROI, sql.HIST, sql.Q12, sql.MEANS, _PRUNED, _SCORED.format(pal="pruned", by="n"), "sc64 as (select * from sc qualify row_number() over (partition by crop_id, rank order by d, rgb24) <= 64)"]
+_ROI_PAL += [sql.picks("sc64", "pk", 5, False).replace("cast(null as int) as crop_id", "cast(null as varchar) as crop_id")]
+
+
+def _roi_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes from ``customer`` in the scene's crops, which stand for the images."""
+    k = F.col("c_custkey")
+    left, top = k * 7 % 25 - 2, k * 11 % 24 - 2
+    boxes = spark.read.parquet(f"{d}/customer.parquet").select(
+        (k % 50).cast("string").alias("path"), k.cast("int").alias("box_index"), left.cast("int").alias("l"), top.cast("int").alias("t"),
+        (left + 3 + k * 13 % 15).cast("int").alias("r"), (top + 3 + k * 17 % 12).cast("int").alias("b"), F.lit(25).alias("width"), F.lit(24).alias("height"),
+    )
+    images_ = _px(spark, d).select(F.col("crop_id").cast("string").alias("path"), "x", "y", "r", "g", "b")
+    return roi.sampled(images_, boxes, 64)
+
+
+def _roi_palettes(spark: SparkSession, d: str) -> DataFrame:
+    hist = histogram.exact(_roi_samples(spark, d))
+    return roi.by_box(observed.remap_nearest(_means(hist), hist))
+
+
+@query("roi_samples", sql.with_(*_ROI) + "select crop_id, path, box_index, cast(idx as int) as idx, cast(x as int) as x, cast(y as int) as y, r, g, b from vis")
+def _(spark, d):
+    return _roi_samples(spark, d).select("crop_id", "path", "box_index", F.col("idx").cast("int").alias("idx"), "x", "y", "r", "g", "b")
+
+
+@query("roi_observed_palettes", sql.with_(*_ROI_PAL) + f"select split_part(crop_id, '#', 1) as path, cast(split_part(crop_id, '#', 2) as int) as box_index, cast(rank as int) as rank, rgb24 >> 16 as r, (rgb24 >> 8) & 255 as g, rgb24 & 255 as b, {r6('weight')} as weight from pk")
+def _(spark, d):
+    return _roi_palettes(spark, d).withColumn("weight", _r("weight", "weight"))
+
+
+@query(
+    "roi_nested_palettes",
+    sql.with_(*_ROI_PAL, "bp as (select split_part(crop_id, '#', 1) as path, cast(split_part(crop_id, '#', 2) as int) as box_index, string_agg(printf('#%06X', rgb24), ' ' order by rank) as colours, round(sum(round(weight, 6)), 5) as weight from pk group by crop_id)")
+    + "select path, count(*) as boxes_n, string_agg(box_index || ': ' || colours, ', ' order by box_index) as boxes, round(sum(weight), 3) + 0e0 as weight from bp group by path",
+)
+def _(spark, d):
+    box = lambda b: F.concat(b["box_index"].cast("string"), F.lit(": "), F.array_join(F.transform(b["palette"], lambda e: e["hex"]), " "))
+    mass = F.aggregate(F.flatten(F.transform("boxes", lambda b: b["palette"])), F.lit(0.0), lambda t, e: t + e["weight"])
+    return roi.nested(_roi_palettes(spark, d)).select("path", "boxes_n", F.array_join(F.transform("boxes", box), ", ").alias("boxes"), (F.round(mass, 3) + 0.0).alias("weight"))
+
+
+@query("resize_geometry", "with i as (select c_custkey as id, cast(100 + c_custkey * 37 % 1900 as int) as w, cast(90 + c_custkey * 53 % 1400 as int) as h from customer) select id, w as width, h as height, case when least(w, h) <= 256 then w else cast(ceil(greatest(round_even(w * 256 / cast(least(w, h) as double), 0), 1) / 16) * 16 as int) end as new_width, case when least(w, h) <= 256 then h else cast(ceil(greatest(round_even(h * 256 / cast(least(w, h) as double), 0), 1) / 16) * 16 as int) end as new_height from i")
+def _(spark, d):
+    k = F.col("c_custkey")
+    i = spark.read.parquet(f"{d}/customer.parquet").select(k.alias("id"), (100 + k * 37 % 1900).cast("int").alias("width"), (90 + k * 53 % 1400).cast("int").alias("height"))
+    w, h = sampling.shrunk_size(F.col("width"), F.col("height"))
+    return i.withColumns({"new_width": w, "new_height": h})
+
+
 @query("box_stats", sql.with_(sql.BOXES, "n as (select path, count(*) as n from clamped group by path)") + f"select count(*) as images, {r6('avg(n)')} as mean, {r6('quantile_cont(cast(n as double), 0.5)')} as p50, {r6('quantile_cont(cast(n as double), 0.95)')} as p95, min(n) as least, max(n) as most from n")
 def _(spark, d):
     n = sampling.clamp_boxes(_boxes(spark, d)).groupBy("path").agg(F.count("*").alias("n"))
@@ -775,7 +876,7 @@ def _method(name: str) -> Query:
 
 
 for _name in methods.METHODS:
-    if _name not in ("adaptive_v1", "tencent_hsv"):
+    if _name not in ("adaptive_v1", "tencent_hsv", "tencent_hsv_weighted_observed"):
         QUERIES[f"palette_{_name}"] = _method(_name)
 
 

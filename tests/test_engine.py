@@ -71,6 +71,27 @@ def test_two_colour_box_is_pruned_to_one(spark):
         roi.box_palettes(px, boxes, "none")
 
 
+def test_box_methods_by_long_name():
+    for name, kernel in (("pngquant_liq_speed7_observed_pruned", "liq_like"), ("octree_observed_pruned", "octree"), ("hsv_pixelero", "hsv_pixelero_kmeans")):
+        assert roi.kernel_of(name) == kernel
+    for wrong in ("pngquant_liq_speed11_observed_pruned", "pngquant_liq_speed0_observed_pruned", "octree_pruned", "pngquant_liq_speed_observed_pruned"):
+        with pytest.raises(ValueError):
+            roi.kernel_of(wrong)
+
+
+def test_shrunk_sizes(spark):
+    sizes = spark.createDataFrame([(200, 5000), (256, 256), (512, 300), (300, 1000), (257, 257)], "w int, h int")
+    got = sizes.select(*sampling.shrunk_size(sizes.w, sizes.h)).collect()
+    assert [tuple(r) for r in got] == [(200, 5000), (256, 256), (448, 256), (256, 864), (256, 256)]
+
+
+def test_record_without_palette_shows_the_primary(spark):
+    entry = "struct<r:int,g:int,b:int>"
+    rows = spark.createDataFrame([(1, "flat", (1, 2, 255), [], [], 0.12345678, True, 0.3333333)], f"crop_id int, route string, primary {entry}, palette array<{entry}>, weights array<double>, confidence double, observed boolean, spread double")
+    got = summary.record(rows, "octree").first()
+    assert got.palette_rgb == [[1, 2, 255]] and got.palette_hex == ["#0102FF"] == [got.hex] and got.confidence == 0.123457 and got.diagnostics == {"spread": 0.333333}
+
+
 def test_picks_are_not_reused(spark):
     hist = spark.createDataFrame([(1, 10, 10, 10, 657930, 9.0, 9, 0), (1, 250, 250, 250, 16448250, 1.0, 1, 1)], "crop_id int, r int, g int, b int, rgb24 int, mass double, n long, min_idx int")
     palette = spark.createDataFrame([(1, 1, 11, 11, 11, 0.6), (1, 2, 12, 12, 12, 0.4), (1, 3, 9, 9, 9, 0.3)], "crop_id int, rank int, r int, g int, b int, weight double")
