@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chromaloom.functions import color
+from chromaloom.functions import color, numbers
 from chromaloom.operators import adaptive, clustering, histogram, hsv, methods, observed, ordering, quality, roi, sampling, summary
 from chromaloom.plans import sql
 from chromaloom.plans.sql import r6
@@ -699,7 +699,7 @@ def _(spark, d):
 @query("compact_numbers", sql.with_(sql.OBSERVATIONS) + "select event_id, case when crop_id * 1000 >= 1000000 then printf('%.1fM', crop_id * 1000 / 1e6) when crop_id * 1000 >= 1000 then printf('%.1fK', crop_id * 1000 / 1e3) else cast(crop_id * 1000 as varchar) end as text from obs")
 def _(spark, d):
     n = F.col("crop_id") * 1000
-    text = F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1e6)).when(n >= 1000, F.format_string("%.1fK", n / 1e3)).otherwise(n.cast("string"))
+    text = F.when(n >= 1_000_000, F.concat(numbers.tenths(n / 1e6), F.lit("M"))).when(n >= 1000, F.concat(numbers.tenths(n / 1e3), F.lit("K"))).otherwise(n.cast("string"))
     return _obs(spark, d).select("event_id", text.alias("text"))
 
 

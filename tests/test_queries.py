@@ -44,3 +44,15 @@ def test_partitioning_does_not_change_results(spark, sf_dir):
 def test_entry_and_registration(spark):
     assert entry.entry(spark).limit(1).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_compact_numbers_round_as_sql(spark, tmp_path):
+    """By the binary value: 1.15 lies below its tie, 1.25 on it."""
+    import duckdb
+
+    con, f = duckdb.connect(), str(tmp_path / "events.parquet")
+    con.sql(f"copy (select i as event_id, case when i < 120000 then i when i < 121000 then 9223372036854775 - i else i * i * i + 50 end as user_id, 'view' as event_type, 1e0 as value from range(122000) t(i)) to '{f}'")
+    con.sql(f"create view events as select * from '{f}'")
+    got = registry.QUERIES["compact_numbers"](spark, str(tmp_path)).toPandas()
+    assert_same(got, con.sql(registry.ORACLES["compact_numbers"]).df())
+    assert got.set_index("event_id").text[[1050, 1150, 1250, 1750, 1950, 99950]].tolist() == ["1.1M", "1.1M", "1.2M", "1.8M", "1.9M", "100.0M"]
