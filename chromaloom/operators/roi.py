@@ -34,20 +34,31 @@ def sampled(pixels: DataFrame, boxes: DataFrame, most: int = sampling.BOX_PIXELS
     """The sampled pixels of each box, of pixels(path, x, y, r, g, b) and
     boxes(path, box_index, l, t, r, b, width, height): an equi-join on the places
     of the grids, so an image is read once whatever its boxes. crop_id is
-    path#box_index; boxes outside their image have no rows."""
-    points = sampling.grid(sampling.clamp_boxes(boxes), most)
-    met = points.join(pixels, ["path", "x", "y"])
+    path#box_index; boxes outside their image have no rows.
+
+    The merge is asked for: by the size of the boxes, Spark would take the points,
+    up to ``most`` times as many, for few and gather them in the driver."""
+    inside = sampling.clamp_boxes(boxes)
+    # images without boxes go before anything shuffles or sorts their pixels
+    named = pixels.join(inside.select("path").distinct(), "path", "left_semi")
+    met = sampling.grid(inside, most).hint("merge").join(named, ["path", "x", "y"])
     crop = F.concat("path", F.lit("#"), F.col("box_index").cast("string"))
     return met.select(crop.alias("crop_id"), "path", "box_index", F.col("at").alias("idx"), "x", "y", "r", "g", "b", F.lit(1.0).alias("w"))
 
 
+def histograms(samples: DataFrame) -> DataFrame:
+    """hist of sampled boxes. A box has few pixels, so they meet in one shuffle by
+    box, which all that reads the histogram shares, whatever columns it takes."""
+    return histogram.exact(samples.repartition("crop_id"))
+
+
 def box_palettes(pixels: DataFrame, boxes: DataFrame, method: str = "libimagequant", k: int = 5, most: int = sampling.BOX_PIXELS) -> DataFrame:
     """path, box_index, rank, r, g, b, weight: observed colours, clusters below
     one percent left out."""
     kernel = kernel_of(method)
     if not 1 <= k <= 32:
         raise ValueError("a box palette has 1 to 32 colours")
-    hist = histogram.exact(sampled(pixels, boxes, most))
+    hist = histograms(sampled(pixels, boxes, most))
     return by_box(observed.remap_nearest(clustering.cluster(hist, kernel, k), hist, k))
 
 

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from compare import assert_same
 
@@ -56,3 +58,9 @@ def test_compact_numbers_round_as_sql(spark, tmp_path):
     got = registry.QUERIES["compact_numbers"](spark, str(tmp_path)).toPandas()
     assert_same(got, con.sql(registry.ORACLES["compact_numbers"]).df())
     assert got.set_index("event_id").text[[1050, 1150, 1250, 1750, 1950, 99950]].tolist() == ["1.1M", "1.1M", "1.2M", "1.8M", "1.9M", "100.0M"]
+
+
+def test_box_points_are_merged(spark, sf_dir):
+    """By the boxes' size the points look few; gathered in the driver, they aren't."""
+    plan = registry.QUERIES["roi_samples"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[path#\d+, x#\d+, y#\d+\]", plan)
