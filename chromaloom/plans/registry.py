@@ -54,8 +54,9 @@ def _hist(spark: SparkSession, d: str) -> DataFrame:
 
 def _means(hist: DataFrame) -> DataFrame:
     """Rounded means of the five heaviest q12 bins: a palette that need not occur."""
-    bins = histogram.top(histogram.q12(hist), "q12", 5).select("crop_id", "q12", "rank", "ratio")
-    inside = hist.withColumn("q12", color.q12()).join(bins, ["crop_id", "q12"])
+    bins = histogram.top(histogram.q12(hist), "q12", 5).filter("q12 is not null").select(F.col("crop_id").alias("_crop"), F.col("q12").alias("_bin"), "rank", "ratio")
+    # a plain = would add "q12 is not null" below the histogram of one side, which then is another and runs twice
+    inside = hist.join(bins, (F.col("crop_id") == F.col("_crop")) & color.q12().eqNullSafe(F.col("_bin")))
     mean = lambda c: color.channel(F.sum(F.col("mass") * F.col(c)) / F.sum("mass")).alias(c)
     return inside.groupBy("crop_id", "rank").agg(mean("r"), mean("g"), mean("b"), F.first("ratio").alias("weight"))
 
@@ -770,7 +771,7 @@ def _roi_samples(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _roi_palettes(spark: SparkSession, d: str) -> DataFrame:
-    hist = histogram.exact(_roi_samples(spark, d))
+    hist = roi.histograms(_roi_samples(spark, d))
     return roi.by_box(observed.remap_nearest(_means(hist), hist))
 
 

@@ -64,3 +64,11 @@ def test_box_points_are_merged(spark, sf_dir):
     """By the boxes' size the points look few; gathered in the driver, they aren't."""
     plan = registry.QUERIES["roi_samples"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"SortMergeJoin \[path#\d+, x#\d+, y#\d+\]", plan)
+
+
+@pytest.mark.parametrize("name", ["roi_observed_palettes", "roi_nested_palettes"])
+def test_box_pixels_are_sampled_once(name, spark, sf_dir):
+    got = registry.QUERIES[name](spark, sf_dir)
+    got.collect()
+    final = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(re.findall(r"SortMergeJoin \[path#\d+, x#\d+, y#\d+\]", final)) == 1
