@@ -792,7 +792,9 @@ def _(spark, d):
 )
 def _(spark, d):
     box = lambda b: F.concat(b["box_index"].cast("string"), F.lit(": "), F.array_join(F.transform(b["palette"], lambda e: e["hex"]), " "))
-    mass = F.aggregate(F.flatten(F.transform("boxes", lambda b: b["palette"])), F.lit(0.0), lambda t, e: t + e["weight"])
+    # as the SQL: each box's sum at five places, a half of the binary value up
+    of_box = lambda b: F.round(F.aggregate(b["palette"], F.lit(0.0), lambda t, e: t + e["weight"]) * 1e5, 0) / 1e5
+    mass = F.aggregate("boxes", F.lit(0.0), lambda t, b: t + of_box(b))
     return roi.nested(_roi_palettes(spark, d)).select("path", "boxes_n", F.array_join(F.transform("boxes", box), ", ").alias("boxes"), (F.round(mass, 3) + 0.0).alias("weight"))
 
 

@@ -72,3 +72,14 @@ def test_box_pixels_are_sampled_once(name, spark, sf_dir):
     got.collect()
     final = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert len(re.findall(r"SortMergeJoin \[path#\d+, x#\d+, y#\d+\]", final)) == 1
+
+
+def test_weights_of_many_boxes(spark, sf_dir, tmp_path):
+    import duckdb
+
+    con, f = duckdb.connect(), str(tmp_path / "customer.parquet")
+    con.sql(f"copy (select range as c_custkey from range(20000)) to '{f}'")
+    (tmp_path / "lineitem.parquet").symlink_to(f"{sf_dir}/lineitem.parquet")
+    for t in ("customer", "lineitem"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    assert_same(registry.QUERIES["roi_nested_palettes"](spark, str(tmp_path)).toPandas(), con.sql(registry.ORACLES["roi_nested_palettes"]).df())
